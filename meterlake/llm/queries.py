@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import sharding, token_counts
+from . import quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL = {
+    "op3_quality_rules": quality_rules.OP3_SQL,
     "op9_sharding": sharding.OP9_SQL,
 }
