@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, piece_codec, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, language_id, near_duplicates, piece_codec, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_sentencepiece": piece_codec.op7_sentencepiece,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op5_near_duplicates": near_duplicates.OP5_SQL,
     "op9_sharding": sharding.OP9_SQL,
 }
