@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_duplicates, piece_codec, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, language_id, near_duplicates, piece_codec, quality_classifier, quality_rules, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_warc": warc.op2_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op6_decontamination": decontamination.op6_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_near_duplicates": near_duplicates.OP5_SQL,
     "op9_sharding": sharding.OP9_SQL,
