@@ -1,6 +1,304 @@
-"""Registered queries over the usage log and their DuckDB SQL."""
+"""Registered queries over the usage log and their DuckDB SQL.
+
+Each query is a thin call of the library's operators over the log that plans.adapter makes of the
+`events` table; the SQL says the same independently.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Settings
+from .functions import numbers as N
+from .functions import text as T
+from .operators import aggregates as A
+from .operators import events as E
+from .operators import prices as P
+from .operators import retention as R
+from .operators import series as S
+from .plans import adapter as D
+from .plans import dashboard
+from .schema import DEDUP_KEY, EVENT_COLUMNS, TOKENS
+from .sources import records, storage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Days of retention and rows of each group in the retention queries.
+DAYS, CAP = 20, 100
+_EV = D.EV.strip()
+#: Cost of a row; sums have the larger of the two cached counts already.
+_ROWCOST = D.COST.replace("greatest(cached_tokens, 0)", "greatest(cached_tokens, cache_tokens, 0)")
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None, *more: str) -> None:
+    """Register a query and SQL over `ev`, `clock` and further common table expressions."""
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = "WITH " + ",\n".join([_EV, *more]) + "\n" + sql
+
+
+def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(D.usage(spark, d))
+
+
+def _timed(f: Callable[[DataFrame, Column], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(D.usage(spark, d), D.clock(spark, d))
+
+
+def _priced(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(D.usage(spark, d), P.make(spark, D.PRICED))
+
+
+def _plain_time(df: DataFrame) -> DataFrame:
+    """Times without a zone, as DuckDB has them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+
+
+# -- roll-ups ----------------------------------------------------------------------------------
+
+_add("a_glob", _over(A.overall), f"SELECT {D.M8}, {D.LAT} FROM ev")
+_add("a_api", _over(A.by_api), f"SELECT api, {D.M8}, {D.LAT} FROM ev GROUP BY api")
+_add("a_apimodel", _over(A.by_api_model), f"SELECT api, model, {D.M8}, {D.LAT} FROM ev GROUP BY api, model")
+_add("a_hier", _over(A.hierarchy), f"SELECT api, model, {D.M8}, {D.LAT}, (2 - (grouping(api) + grouping(model)))::INT AS level FROM ev GROUP BY ROLLUP (api, model)")
+_add("a_model", _over(A.by_model), f"SELECT model, {D.M8}, {D.LAT} FROM ev GROUP BY model")
+_add("a_src", _over(A.by_source), f"SELECT CASE WHEN source = '' THEN '{T.UNKNOWN_SOURCE}' ELSE source END AS source, arg_min(provider, ingest_seq) AS provider, {D.M4} FROM ev GROUP BY 1")
+_add("a_cred", _over(A.by_credential), f"SELECT CASE WHEN auth_index = '' THEN '{T.BLANK_CREDENTIAL}' ELSE auth_index END AS auth_index, {D.M4} FROM ev GROUP BY 1")
+_add("a_client", _over(lambda e: A.by_client(e).drop("api_key_hash")), f"SELECT 'api_key:' || api_key AS client, api_key AS label, {D.M8} FROM ev GROUP BY 1, 2")
+_add("a_client_hash", _over(lambda e: A.by_client(e).select("client", "api_key_hash")))
+_add("a_clientmodel", _over(A.by_client_model), f"SELECT 'api_key:' || api_key AS client, model, {D.M8} FROM ev GROUP BY 1, 2")
+_add("a_client_nested", _over(lambda e: A.clients_nested(e).select("client", F.size("models").alias("n_models"), F.element_at("models", 1)["model"].alias("top_model"), F.element_at("models", 1)["total_requests"].alias("top_requests"))),
+     "SELECT client, count(*)::INT AS n_models, arg_min(model, -n * 1000 + right(model, 1)::INT) AS top_model, max(n) AS top_requests FROM (SELECT 'api_key:' || api_key AS client, model, count(*) AS n FROM ev GROUP BY 1, 2) GROUP BY 1")
+_add("a_day", _over(A.by_day), "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens FROM ev GROUP BY 1")
+_add("a_hour", _over(A.by_hour), "SELECT strftime(ts, '%H') AS hour, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens FROM ev GROUP BY 1")
+_add("a_err", _over(A.errors), "SELECT status_code::VARCHAR AS status, failure AS error, count(*) AS n FROM ev WHERE failed GROUP BY 1, 2 ORDER BY n DESC, status, error LIMIT 10")
+_RATE = "CASE WHEN count(*) = 0 THEN 100.0 ELSE count(*) FILTER (NOT failed) / count(*)::DOUBLE * 100 END"
+_add("a_rate", _over(lambda e: A.with_rate(A.by_api(e)).select("api", "success_rate", "rate_class")), f"SELECT api, round({_RATE}, 6) AS success_rate, CASE WHEN {_RATE} >= 95 THEN 'ok' WHEN {_RATE} >= 80 THEN 'neutral' ELSE 'bad' END AS rate_class FROM ev GROUP BY api")
+_add("a_nmodel", _over(A.distinct_counts), "SELECT api, count(DISTINCT model) AS models, count(DISTINCT source) AS sources FROM ev GROUP BY api")
+_add("a_cnt_last", _over(lambda e: _plain_time(A.summary_metrics(e))), "SELECT count(*) AS detail_count, count(DISTINCT ingest_seq) AS seen_count, max(ts) AS last_recorded_at FROM ev")
+_add("a_rpm", _timed(A.trailing_rpm), "SELECT round(count(*) FILTER (ts > now - INTERVAL 1 HOUR AND ts <= now) / 60.0::DOUBLE, 6) AS rpm FROM ev, clock")
+_add("a_avg", _over(lambda e: e.groupBy("model").agg(F.round(A.mean_positive(F.col("ttft_ms")), 6).alias("avg_ttft_ms"))), "SELECT model, round(coalesce(avg(ttft_ms) FILTER (ttft_ms > 0), 0), 6) AS avg_ttft_ms FROM ev GROUP BY model")
+_add("t_stats", _over(lambda e: A.stats_order(A.by_source(e), "source").limit(3).select("source", "total_requests")), f"SELECT CASE WHEN source = '' THEN '{T.UNKNOWN_SOURCE}' ELSE source END AS source, count(*) AS total_requests FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+_add("t_client", _over(lambda e: A.stats_order(A.by_client(e), "client", by="total_tokens").limit(10).select("client", "total_tokens")), "SELECT 'api_key:' || api_key AS client, sum(total_tokens)::BIGINT AS total_tokens FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+_add("t_top8", _over(lambda e: A.top_bars(A.by_credential(e), "auth_index", "total_requests")),
+     f"SELECT name, value, greatest(4, round(value / max(value) OVER () * 100)::INT)::INT AS width FROM (SELECT CASE WHEN auth_index = '' THEN '{T.BLANK_CREDENTIAL}' ELSE auth_index END AS name, count(*) AS value FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)")
+
+# -- time grids --------------------------------------------------------------------------------
+
+_GRID = f"""grid AS (
+  SELECT s.slot, count(e.slot) AS total, count(*) FILTER (NOT e.failed) AS success, count(*) FILTER (e.failed) AS failure
+  FROM (SELECT unnest(range({S.SLOTS})) AS slot) s LEFT JOIN (
+    SELECT failed, (epoch_us(ts) - epoch_us(now - INTERVAL 7 DAY)) // 900000000 AS slot FROM ev, clock
+    WHERE ts > now - INTERVAL 7 DAY - INTERVAL 15 MINUTE) e USING (slot) GROUP BY 1)"""
+_add("t_health", _timed(lambda e, now: _plain_time(S.health_grid(e, now))), "SELECT g.*, now - INTERVAL 7 DAY + slot * INTERVAL 15 MINUTE AS start FROM grid g, clock", _GRID)
+_add("a_hsum", _timed(lambda e, now: S.health_rate(S.health_grid(e, now))), "SELECT sum(total)::BIGINT AS total, sum(success)::BIGINT AS success, round(CASE WHEN sum(total) = 0 THEN 100.0 ELSE sum(success) / sum(total)::DOUBLE * 100 END, 6) AS success_rate FROM grid", _GRID)
+for _metric, _value in (("requests", "count(*)::DOUBLE"), ("tokens", "sum(total_tokens)::DOUBLE"), ("cost", f"round(sum({_ROWCOST}), 6)")):
+    _add(f"a_bucket_{_metric}", lambda spark, d, m=_metric: S.bucket_series(D.usage(spark, d), P.make(spark, D.PRICED), D.clock(spark, d), m, 360, 28),
+         f"SELECT b.bucket, coalesce(v.value, 0.0) AS value FROM (SELECT unnest(range(28)) AS bucket) b LEFT JOIN (SELECT (epoch_us(ts) - epoch_us(now) + 28 * 21600000000) // 21600000000 AS bucket, {_value} AS value FROM ev LEFT JOIN prices USING (model), clock WHERE ts < now AND epoch_us(ts) >= epoch_us(now) - 28 * 21600000000 GROUP BY 1) v USING (bucket)", D.PRICE_ROWS)
+
+# -- prices and cost ---------------------------------------------------------------------------
+
+_SUMS = f"sums AS (SELECT api, api_key, model, {D.M8} FROM ev GROUP BY 1, 2, 3), by_model AS (SELECT model, {D.M8} FROM ev GROUP BY 1)"
+_add("a_cost", _priced(lambda e, p: P.cost_by(A.by_model(e), p)), f"SELECT round(coalesce(sum({D.COST}), 0), 6) AS cost FROM by_model LEFT JOIN prices USING (model)", D.PRICE_ROWS, _SUMS)
+_add("j_price", _priced(lambda e, p: P.cost_by(A.by_model(e), p, "model")), f"SELECT model, round(sum({D.COST}), 6) AS cost FROM by_model LEFT JOIN prices USING (model) GROUP BY model", D.PRICE_ROWS, _SUMS)
+_add("a_cost_api", _priced(lambda e, p: P.cost_by(A.by_api_model(e), p, "api")), f"SELECT api, round(sum({D.COST}), 6) AS cost FROM (SELECT api, model, {D.M8} FROM ev GROUP BY 1, 2) LEFT JOIN prices USING (model) GROUP BY api", D.PRICE_ROWS)
+_add("a_cost_client", _priced(lambda e, p: P.cost_by(A.by_client_model(e), p, "client")), f"SELECT 'api_key:' || api_key AS client, round(sum({D.COST}), 6) AS cost FROM (SELECT api_key, model, {D.M8} FROM ev GROUP BY 1, 2) LEFT JOIN prices USING (model) GROUP BY 1", D.PRICE_ROWS)
+_add("g_cost", _priced(lambda e, p: E.detailed(e, p).select("ingest_seq", "timestamp_ms", "total", "cached", F.round("cost", 6).alias("cost"))), f"SELECT ingest_seq, epoch_us(ts) // 1000 AS timestamp_ms, total_tokens AS total, greatest(cached_tokens, cache_tokens, 0) AS cached, round({_ROWCOST}, 6) AS cost FROM ev LEFT JOIN prices USING (model)", D.PRICE_ROWS)
+_add("a_group", _priced(lambda e, p: A.grouped(e, p, F.col("auth_index"), T.or_default(F.col("auth_index"), "-"))),
+     f"SELECT auth_index AS key, CASE WHEN auth_index = '' THEN '-' ELSE auth_index END AS label, {D.M4}, sum(greatest(cached_tokens, cache_tokens, 0))::BIGINT AS cached_tokens, sum(reasoning_tokens)::BIGINT AS reasoning_tokens, round(sum({_ROWCOST}), 6) AS cost, {D.LAT}, round(coalesce(avg(ttft_ms) FILTER (ttft_ms > 0), 0), 6) AS avg_ttft_ms FROM ev LEFT JOIN prices USING (model) GROUP BY auth_index", D.PRICE_ROWS)
+_add("u_upsert", lambda spark, d: P.upsert(P.upsert(P.make(spark, D.PRICED), " model-2 ", 1, 2), "model-9", 3, 4, 5), "SELECT * FROM prices WHERE model <> 'model-2' UNION ALL VALUES ('model-2', 1.0, 2.0, 1.0), ('model-9', 3.0, 4.0, 5.0)", D.PRICE_ROWS)
+_add("u_delete", lambda spark, d: P.delete(P.make(spark, D.PRICED), "model-2"), "SELECT * FROM prices WHERE model <> 'model-2'", D.PRICE_ROWS)
+_add("u_read", lambda spark, d: P.make(spark, D.PRICED), "SELECT * FROM prices", D.PRICE_ROWS)
+_ODD = {"ok": (1.0, 2.0, 3.0), " ": (1.0, 1.0, 1.0), "negative": (-1.0, 1.0, 1.0), "nan": (float("nan"), 1.0, 1.0), "inf": (1.0, float("inf"), 1.0), "zero": (0.0, 0.0, 0.0)}
+_add("w_price", lambda spark, d: P.valid(P.make(spark, _ODD)), "SELECT * FROM (VALUES ('ok', 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE), ('zero', 0.0, 0.0, 0.0)) t(model, prompt, completion, cache)")
+_add("t_options", _priced(lambda e, p: P.options(e, P.overlay(p, P.make(e.sparkSession, {"model-9": (1, 1, 1)})))), "SELECT DISTINCT model FROM ev UNION SELECT model FROM prices UNION SELECT 'model-9'", D.PRICE_ROWS)
+
+# -- filters, order, pages ---------------------------------------------------------------------
+
+
+def _found(query: E.Query) -> Callable[[SparkSession, str], DataFrame]:
+    return _timed(lambda e, now: E.select_events(e, query, now).select("ingest_seq", "api", "model"))
+
+
+_add("w_range_24h", _found(E.Query(range="24h")), "SELECT ingest_seq, api, model FROM ev, clock WHERE ts >= now - INTERVAL 24 HOUR")
+_add("w_range_7d", _found(E.Query(range="7d")), "SELECT ingest_seq, api, model FROM ev, clock WHERE ts >= now - INTERVAL 7 DAY")
+_add("w_range_any", _found(E.Query(range="30d", limit=1)), "SELECT ingest_seq, api, model FROM ev")
+_add("w_model", _found(E.Query(model="model-3")), "SELECT ingest_seq, api, model FROM ev WHERE model = 'model-3'")
+_add("w_src", _found(E.Query(source=T.UNKNOWN_SOURCE)), "SELECT ingest_seq, api, model FROM ev WHERE source = ''")
+_add("w_auth", _found(E.Query(auth_index="auth-07")), "SELECT ingest_seq, api, model FROM ev WHERE auth_index = 'auth-07'")
+_add("w_auth_blank", _found(E.Query(blank_auth=True)), "SELECT ingest_seq, api, model FROM ev WHERE auth_index = ''")
+_add("w_api", _found(E.Query(api="codex · codex-prod")), "SELECT ingest_seq, api, model FROM ev WHERE api = 'codex · codex-prod'")
+_add("w_fail", _found(E.Query(failed_only=True, range="7h")), "SELECT ingest_seq, api, model FROM ev, clock WHERE failed AND ts >= now - INTERVAL 7 HOUR")
+_PAGE = E.Query(range="7d", model="model-1", limit=50, offset=50)
+_add("t_page", _timed(lambda e, now: E.page(e, _PAGE, now)[0].select("ingest_seq", "model", "total_tokens")), "SELECT ingest_seq, model, total_tokens FROM ev, clock WHERE model = 'model-1' AND ts >= now - INTERVAL 7 DAY ORDER BY ts DESC, api, ingest_seq DESC LIMIT 50 OFFSET 50")
+_add("t_page_total", _timed(lambda e, now: E.page(e, _PAGE, now)[1]), "SELECT count(*) AS total FROM ev, clock WHERE model = 'model-1' AND ts >= now - INTERVAL 7 DAY")
+_add("t_page_beyond", _timed(lambda e, now: E.page(e, E.Query(limit=501), now)[0].select("ingest_seq")), "SELECT ingest_seq FROM ev ORDER BY ts DESC, api, ingest_seq DESC LIMIT 50")
+_add("t_recent", _over(lambda e: E.recent(e, "gemini · gemini-prod").select("ingest_seq")), "SELECT ingest_seq FROM ev WHERE api = 'gemini · gemini-prod' ORDER BY ts DESC, ingest_seq DESC LIMIT 120")
+_add("t_events", _over(lambda e: E.ordered(e).limit(500).select("ingest_seq", "api")), "SELECT ingest_seq, api FROM ev ORDER BY ts DESC, api, ingest_seq DESC LIMIT 500")
+_add("t_names", _over(E.model_names), "SELECT DISTINCT model FROM ev")
+_add("t_auths", _over(E.auth_names), "SELECT DISTINCT CASE WHEN auth_index = '' THEN '-' ELSE auth_index END AS auth_index FROM ev")
+_add("j_semi", _over(lambda e: E.existing(e, e.sparkSession.createDataFrame([("codex",), ("gone",), ("openai · openai-prod",)], "api string"))), "SELECT api FROM (VALUES ('codex'), ('gone'), ('openai · openai-prod')) t(api) WHERE api IN (SELECT api FROM ev)")
+
+# -- duplicates, retention, merging ------------------------------------------------------------
+
+
+def _repeated(e: DataFrame) -> DataFrame:
+    again = e.filter(F.col("ingest_seq") % 10 == 0).withColumn("ingest_seq", F.col("ingest_seq") + 10_000_000)
+    return e.unionByName(again)
+
+
+_add("o_dedup1", _over(lambda e: R.first_arrivals(_repeated(e)).select("ingest_seq", "api", "total_tokens")), "SELECT ingest_seq, api, total_tokens FROM ev")
+_add("f_dedup", _over(lambda e: R.distinct_keys(_repeated(e)).agg(F.count("*").alias("keys"))), "SELECT count(*) AS keys FROM ev")
+_add("t_dedup_off", _over(lambda e: R.dedup_live(_repeated(e), 0).agg(F.count("*").alias("n"))), "SELECT count(*) + count(*) FILTER (ingest_seq % 10 = 0) AS n FROM ev")
+_add("w_ret", _timed(lambda e, now: R.within(e, now, DAYS).agg(*A.measures4())), f"SELECT {D.M4} FROM ev, clock WHERE ts >= now - INTERVAL {DAYS} DAY")
+_add("o_ret2", _over(lambda e: R.cap_rows(e, CAP).select("api", "model", "ingest_seq")), f"SELECT api, model, ingest_seq FROM ev QUALIFY row_number() OVER (PARTITION BY api, model ORDER BY ts DESC, ingest_seq DESC) <= {CAP}")
+_KEPT = f"recent AS (SELECT ev.* FROM ev, clock WHERE ts >= now - INTERVAL {DAYS} DAY), kept AS (SELECT * FROM recent QUALIFY row_number() OVER (PARTITION BY api, model ORDER BY ts DESC, ingest_seq DESC) <= {CAP})"
+_add("u_evict", _timed(lambda e, now: A.by_api_model(R.prune(e, now, DAYS, CAP))), f"SELECT api, model, {D.M8}, {D.LAT} FROM kept GROUP BY 1, 2", _KEPT)
+_add("a_evict", _timed(lambda e, now: R.evicted(e, now, DAYS, CAP)), "SELECT a - b AS expired, b - c AS capped, a - c AS evicted FROM (SELECT (SELECT count(*) FROM ev) AS a, (SELECT count(*) FROM recent) AS b, (SELECT count(*) FROM kept) AS c)", _KEPT)
+_add("j_anti", _over(lambda e: R.without_known(e, e.filter("ingest_seq % 2 = 0")).select("ingest_seq")), "SELECT ingest_seq FROM ev WHERE ingest_seq % 2 = 1")
+
+
+def _import(e: DataFrame) -> DataFrame:
+    """All rows, every tenth twice and every 25th for a blank api, as an import over the even ones."""
+    return _repeated(e).withColumn("outer_api", F.when(F.col("ingest_seq") % 25 == 3, " ").otherwise(F.col("api")))
+
+
+_add("a_impc", _timed(lambda e, now: R.import_counts(R.classify_import(_import(e), e.filter("ingest_seq % 2 = 0"), now, DAYS))),
+     """SELECT count(*) AS input_records, count(*) FILTER (o <> 'r') AS accepted_records, count(*) FILTER (o = 'r') AS rejected_records,
+        count(*) FILTER (o = 'a') AS added, count(*) FILTER (o = 's') AS skipped, count(*) FILTER (o = 'i') AS ignored_by_retention FROM outcomes""",
+     f"""doubled AS (SELECT ev.*, ingest_seq AS seq, 1 AS copy FROM ev UNION ALL SELECT ev.*, ingest_seq + 10000000, 2 FROM ev WHERE ingest_seq % 10 = 0),
+outcomes AS (SELECT CASE WHEN seq % 25 = 3 THEN 'r' WHEN ts < now - INTERVAL {DAYS} DAY THEN 'i' WHEN ingest_seq % 2 = 0 OR copy = 2 THEN 's' ELSE 'a' END AS o FROM doubled, clock)""")
+_add("u_merge", _timed(lambda e, now: A.by_api_model(R.merge(e.filter("ingest_seq % 2 = 0"), _repeated(e), now, DAYS, CAP)[0])), f"SELECT api, model, {D.M8}, {D.LAT} FROM kept GROUP BY 1, 2", _KEPT)
+_add("w_impv", _over(lambda e: R.negative_tokens(e.withColumn("input_tokens", F.when(F.col("ingest_seq") % 100 == 7, -1).otherwise(F.col("input_tokens")))).select("ingest_seq")), "SELECT ingest_seq FROM ev WHERE ingest_seq % 100 = 7")
+
+# -- scalar functions --------------------------------------------------------------------------
+
+
+def _cases(name: str, f: Callable[[Column], Column], pairs: list[tuple[str, object]]) -> None:
+    """A query that applies f to one of the texts of pairs for each event; the SQL has the results."""
+    n = len(pairs)
+    raw = F.element_at(F.array(*(F.lit(a) for a, _ in pairs)), (F.col("event_id") % n + 1).cast("int"))
+    quote = lambda b: str(b).upper() if isinstance(b, bool) else str(b) if isinstance(b, int) else "'" + str(b).replace("'", "''") + "'"
+    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", raw.alias("raw")).select("event_id", f(F.col("raw")).alias("result"))
+    ORACLE_SQL[name] = "SELECT event_id, CASE event_id % " + str(n) + "".join(f" WHEN {i} THEN {quote(b)}" for i, (_, b) in enumerate(pairs)) + " END AS result FROM events"
+
+
+_HEX, _LONG = "5312415661d8a481", "a" * 45
+_cases("f_mask", T.mask_key, [("sk-test-client-key-zy", "sk******zy"), ("", ""), (" ab ", "a******"), ("abcd", "a******"), ("abcde", "ab******de")])
+_cases("f_tmask", T.mask_token, [("abcd", "******"), ("abcde", "ab******de"), ("sk-1234567", "sk******67")])
+_cases("f_secret", T.looks_secret, [("sk-x", True), ("AIzaQ", True), ("hf_", True), ("pk_1", True), ("rk_1", True), ("plain", False), (_LONG, True), ("a-" + _LONG, False), ("a-" * 41, True), ("", False)])
+_cases("f_credid", T.looks_credential_id, [("deadbeef", True), ("deadbee", False), ("nothexadecimal", False), ("g" * 32, True), ("g.h" * 12, False)])
+_cases("f_sectok", T.looks_secret_token, [("sk-1234", False), ("sk-12345", True), ("x" * 31, False), ("x" * 32, True)])
+_cases("f_mark", T.is_marker, [("api-key", True), ("API_KEY", True), (" Credential ", True), ("auth", True), ("keys", False)])
+_cases("f_split", lambda x: F.array_join(T.name_parts(x), "+"), [("a · b - c", "a+b - c"), ("a - b", "a+b"), ("a | b/c", "a+b/c"), ("a/b", "a+b"), ("a", "a")])
+_cases("f_strip", T.strip_credential, [(f"openai-compatible-opencode · apikey · {_HEX}", "openai-compatible-opencode"), ("openai-compatibility:opencode:a4e4860e4fc0", "openai-compatibility:opencode"), ("opencode - sk-abc123", "opencode"), ("opencode | sk-abc123", "opencode"), ("opencode - apikey - somehash", "opencode"), ("apikey/x", "apikey/x"), ("a/b", "a/b"), (" plain ", "plain"), ("", ""), (f"a | b | {_HEX}", "a · b")])
+_cases("f_cident", T.credential_identity, [(f"x · apikey · {_HEX}", _HEX), ("x - key - a - b", "a · b"), ("x:auth:y:z", "y:z"), ("a:b:deadbeef01", "deadbeef01"), (f"a/{_HEX}", _HEX), ("plain", ""), ("", "")])
+_cases("f_safeid", T.safe_identity, [("x · key · sk-abcdefgh", "sk******gh"), ("auth-01", "auth-01"), ("", ""), ("x:key:me", "me")])
+_cases("f_src", lambda x: T.source_label(x, F.lit("codex"), F.lit("")), [("team - sk-abc123", "team"), ("sk-abc123", "codex"), ("", "codex"), ("shop", "shop")])
+_cases("f_chan", lambda x: T.channel_label(F.lit(""), x, F.lit("id-9")), [("x · key · me", "上游 me"), ("plain", "上游 id-9")])
+_cases("f_api", lambda x: T.group_key(F.lit("codex"), F.lit(""), x, F.lit(""), F.lit("channel-a"), F.lit("")), [("codex", "codex · 上游 channel-a"), ("sk-secret", "codex · 上游 channel-a"), ("shop", "codex · shop"), ("", "codex · 上游 channel-a")])
+_cases("f_api_base", lambda x: T.group_key(x, F.lit("run"), F.lit("public"), F.lit("https://api.example.com/v1"), F.lit(""), F.lit("")), [("codex", "codex · https://api.example.com/v1"), ("openai-compatible-a", "openai-compatible-a · public"), ("", "run · https://api.example.com/v1")])
+_cases("f_rekey", lambda x: T.rekey(F.lit("old"), x, F.lit("shop"), F.lit(""), F.lit(""), F.lit("")), [("codex", "codex · shop"), ("", "old · shop")])
+_cases("f_oai", T.is_openai_compatible, [("OpenAI-Compatible-x", True), (" openai-compatibility:a", True), ("openai", False)])
+_cases("f_join", lambda x: T.join_names(x, F.lit(" b "), x, F.lit("")), [("a", "a · b"), ("b", "b"), ("", "b")])
+_cases("f_model", T.model_name, [(" gpt ", "gpt"), ("", "unknown"), (" ", "unknown")])
+_cases("f_think", lambda x: T.thinking(x)["level"], [(" high ", "high"), ("", "")])
+_cases("f_trim", lambda x: F.octet_length(T.cut_long(x)), [("a" * 500, 500), ("a" * 501, 503), ("é" * 251, 503), (" x ", 1), ("a" + "é" * 251, 502)])
+_cases("f_redact", T.redact, [("Authorization: Bearer sk-abc123def456", "Authorization: Bearer sk******56"), ("task-force", "task******ce"), ("AIzaX!", "AI******aX!"), ("use sk- here", "use ****** here"), ("a?token=" + "x" * 32 + "&b", "a?token=******&b"), ("Bearer " + "t" * 32 + "; x", "Bearer tt******tt; x"), ("x-api-key:" + "q" * 40, "x-api-key:qq******qq"), ("nothing here", "nothing here")])
+_cases("f_ckey", lambda x: T.client_group(x, F.lit("h1")), [("sk******zy", "api_key:sk******zy"), ("", "api_key_hash:h1")])
+_cases("f_clbl", T.client_label, [("sk******zy", "sk******zy"), (" ", T.UNKNOWN_CLIENT)])
+_cases("f_tail", T.path_tail, [("/a/b/usage", "usage"), ("usage", "usage"), ("/a/b/", "b")])
+_cases("w_hdr", lambda x: F.array_join(F.array_sort(F.map_keys(T.keep_headers(F.create_map(x, F.array(F.lit("v")), F.lit("X-Trace"), F.array(F.lit("t"))), "x-*, content-type"))), ","), [("X-Api-Key", "X-Trace"), ("Content-Type", "Content-Type,X-Trace"), ("X-Rate", "X-Rate,X-Trace"), ("Cookie", "X-Trace")])
+_cases("s_ts", lambda x: F.coalesce(F.unix_micros(N.rfc3339(x)), F.lit(0)), [("2024-01-01T00:00:01Z", 1704067201000000), ("2024-01-01T02:00:00.5+02:00", 1704067200500000), ("no time", 0)])
+_cases("f_dayhour", lambda x: F.concat_ws(" ", N.day_key(N.rfc3339(x), N.utc_offset(x)), N.hour_key(N.rfc3339(x), N.utc_offset(x))), [("2024-01-01T00:30:00+08:00", "2024-01-01 00"), ("2024-01-01T23:30:00-05:30", "2024-01-01 23"), ("2024-01-01T12:00:00Z", "2024-01-01 12")])
+_cases("g_fmt", lambda x: F.concat_ws(" ", N.compact(x), N.millis_text(x)), [("1234", "1.2k 1.2s"), ("3400000", "3.4M 3400.0s"), ("12", "12 12ms"), ("x", "0 0ms")])
+QUERIES["f_hash"] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", T.hash_key(F.concat(F.lit(" key-"), F.col("user_id").cast("string")), D.SALT).alias("result"))
+
+_add("f_tok1", _over(lambda e: e.select("ingest_seq", "total_tokens")), "SELECT ingest_seq, total_tokens FROM ev")
+_add("f_cache", _over(lambda e: e.select("ingest_seq", N.cached_tokens(F.col("cached_tokens"), F.col("cache_tokens")).alias("cached"), N.ingested_cache(F.col("cached_tokens"), F.col("cache_tokens"), F.col("input_tokens")).alias("ingested"))), "SELECT ingest_seq, greatest(cached_tokens, cache_tokens, 0) AS cached, greatest(cached_tokens, cache_tokens + input_tokens) AS ingested FROM ev")
+_add("f_ms", _over(lambda e: e.select("ingest_seq", N.millis(F.col("latency_ms") * 999_999 - 5_000_000).alias("ms"), N.non_negative(F.col("latency_ms") - 100).alias("nn"))), "SELECT ingest_seq, trunc((latency_ms * 999999 - 5000000) / 1000000.0)::BIGINT AS ms, greatest(latency_ms - 100, 0) AS nn FROM ev")
+
+# -- records, documents, files -----------------------------------------------------------------
+
+
+def _pushed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as pushed JSON records, every other one in the legacy spelling."""
+    e = D.base(spark, d)
+    c, k = F.col, F.get_json_object("props", "$.k").cast("long")
+    new = c("event_id") % 2 == 0
+    time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    fields = {
+        ("provider", "Provider"): F.concat(F.lit(" p"), (c("user_id") % 3).cast("string")), ("model", "Model"): F.concat(F.lit("m"), (c("user_id") % 5).cast("string")), ("alias", "Alias"): F.lit("never"),
+        ("api_key", "APIKey"): F.concat(F.lit("sk-key-"), c("user_id").cast("string")), ("auth_index", "AuthIndex"): F.concat(F.lit("auth-"), (c("user_id") % 4).cast("string")), ("requested_at", "RequestedAt"): time,
+        ("latency", "Latency"): k * 1_500_000, ("failed", "Failed"): c("event_type") == "error", ("failure", "Failure"): None, ("detail", "Detail"): None}
+    failure = {("status_code", "StatusCode"): F.when(c("event_type") == "error", 500).otherwise(0), ("body", "Body"): F.lit("key sk-abcdefgh")}
+    detail = {("input_tokens", "InputTokens"): k, ("output_tokens", "OutputTokens"): k * 2, ("cache_read_tokens", "CacheReadTokens"): k * 3, ("cache_creation_tokens", "CacheCreationTokens"): F.lit(1).cast("long")}
+
+    def spelled(i: int) -> Column:
+        part = lambda given: F.struct(*(v.alias(n[i]) for n, v in given.items()))
+        nested = {"failure": part(failure), "detail": part(detail)}
+        return F.to_json(F.struct(*((nested[n[0]] if v is None else v).alias(n[i]) for n, v in fields.items())))
+
+    return e.select(c("event_id"), F.when(new, spelled(0)).otherwise(spelled(1)).alias("value"))
+
+
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    pushed = _pushed(spark, d).unionByName(spark.createDataFrame([(-1, "not json"), (-2, "[1]")], "event_id long, value string"))
+    return records.normalize(records.decode(pushed), D.clock(spark, d), Settings(), seq=F.col("event_id"))
+
+
+_INGESTED = "SELECT event_id AS ingest_seq, 'p' || (user_id % 3) || ' · 上游 auth-' || (user_id % 4) AS api, 'm' || (user_id % 5) AS model, ts, 'p' || (user_id % 3) AS source, 'sk******' || right('-' || user_id, 2) AS api_key, trunc(k * 1500000 / 1000000.0)::BIGINT AS latency_ms, k * 3 AS total_tokens, greatest(0, k * 3 + 1) AS cache_tokens, event_type = 'error' AS failed, (CASE WHEN event_type = 'error' THEN 500 ELSE 0 END)::INT AS status_code, 'key sk******gh' AS failure FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)"
+_INGEST_COLUMNS = ("ingest_seq", "api", "model", "ts", "source", "api_key", "latency_ms", "total_tokens", "cache_tokens", "failed", "status_code", "failure")
+QUERIES["s_dec"] = lambda spark, d: _plain_time(_ingested(spark, d).select(*_INGEST_COLUMNS))
+ORACLE_SQL["s_dec"] = _INGESTED
+
+
+def _written(e: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
+    import tempfile
+    import uuid
+
+    base = e.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{base}/meterlake-{uuid.uuid4().hex}"
+    write(e, path)
+    return path
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    e = D.usage(spark, d)
+    path = _written(_repeated(e), storage.append_lines)
+    return storage.replay_lines(spark, path, e.filter("ingest_seq % 2 = 0"), D.clock(spark, d))
+
+
+_add("s_jsonl", lambda spark, d: A.by_api_model(_replayed(spark, d)), f"SELECT CASE WHEN source = '' THEN provider || CASE WHEN auth_index = '' THEN '' ELSE ' · 上游 ' || auth_index END ELSE api END AS api, model, {D.M8}, {D.LAT} FROM ev WHERE ingest_seq % 2 = 1 OR (source = '' AND auth_index <> '') GROUP BY 1, 2")
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    e = D.usage(spark, d)
+    path = _written(e, lambda x, p: storage.export_document(x, Settings(), "2024-02-01T00:00:00Z").coalesce(1).write.text(p))
+    return storage.read_snapshot(spark, path)
+
+
+_add("s_imp", lambda spark, d: _plain_time(_exported(spark, d).select("outer_api", "outer_model", "ts", "total_tokens", "failed", "api_key")), "SELECT api AS outer_api, model AS outer_model, ts, total_tokens, failed, api_key FROM ev")
+_add("k_exp", _over(lambda e: storage.snapshot_apis(e).select("api", "total_requests", "success_count", "failure_count", "total_tokens", F.array_join(F.map_keys("models"), ",").alias("models"), F.aggregate(F.map_values("models"), F.lit(0), lambda a, m: a + F.size(m["details"])).alias("details"))),
+     f"SELECT api, {D.M4}, string_agg(DISTINCT model, ',' ORDER BY model) AS models, count(*)::INT AS details FROM ev GROUP BY api")
+_add("k_csv", _over(lambda e: e.sparkSession.read.option("header", True).option("escape", '"').csv(_written(e.limit(0).unionByName(e), storage.write_csv)).select("model", "source", "result", F.col("total").cast("long").alias("total"), "status")), "SELECT model, CASE WHEN source = '' THEN '-' ELSE source END AS source, CASE WHEN failed THEN 'failed' ELSE 'success' END AS result, total_tokens AS total, status_code::VARCHAR AS status FROM ev")
+_add("k_json", _over(lambda e: e.sparkSession.read.text(_written(e, storage.write_json)).select(F.get_json_object("value", "$.model").alias("model"), F.get_json_object("value", "$.tokens.total_tokens").cast("long").alias("total"))), "SELECT model, total_tokens AS total FROM ev")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Records pushed twice through the streaming path."""
+    from .streaming import ingest
+
+    source = _written(_pushed(spark, d), lambda x, p: x.unionByName(x.filter("event_id % 10 = 0")).select("value").repartition(2).write.text(p))
+    rows = ingest.event_stream(ingest.record_stream(spark, source, 1000), Settings(dedup_window_minutes=100_000), expire=False)
+    ingest.store(rows, f"{source}-table", f"{source}-checkpoint", once=True).awaitTermination()
+    return ingest.stored(spark, f"{source}-table")
+
+
+QUERIES["s_rec_stream"] = lambda spark, d: _plain_time(_streamed(spark, d).select("api", "model", "ts", "total_tokens", "failed"))
+ORACLE_SQL["s_rec_stream"] = f"SELECT api, model, ts, total_tokens, failed FROM ({_INGESTED})"
+_add("dashboard_models", _priced(lambda e, p: dashboard.model_costs(e, p)),
+     f"SELECT b.*, round({_RATE.replace('count(*) FILTER (NOT failed)', 'success_count').replace('count(*)', 'total_requests')}, 6) AS success_rate, CASE WHEN success_count / total_requests::DOUBLE * 100 >= 95 THEN 'ok' WHEN success_count / total_requests::DOUBLE * 100 >= 80 THEN 'neutral' ELSE 'bad' END AS rate_class, round({D.COST}, 6) AS cost FROM (SELECT model, {D.M8}, {D.LAT} FROM ev GROUP BY model) b LEFT JOIN prices USING (model)", D.PRICE_ROWS)

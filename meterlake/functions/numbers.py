@@ -55,19 +55,23 @@ def finite(x: Column) -> Column:
     return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(0.0)
 
 
+def _shown(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", x)
+
+
 def compact(x: Column) -> Column:
     """1.2k, 3.4M; whole numbers below a thousand."""
     v = finite(x)
-    return F.when(F.abs(v) >= 1e6, F.concat(F.format_number(v / 1e6, "0.0"), F.lit("M"))).when(F.abs(v) >= 1e3, F.concat(F.format_number(v / 1e3, "0.0"), F.lit("k"))).otherwise(F.format_number(v, "0"))
+    return F.when(F.abs(v) >= 1e6, F.concat(_shown(v / 1e6, 1), F.lit("M"))).when(F.abs(v) >= 1e3, F.concat(_shown(v / 1e3, 1), F.lit("k"))).otherwise(_shown(v, 0))
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(F.format_number(finite(x), "0.0"), F.lit("%"))
+    return F.concat(_shown(finite(x), 1), F.lit("%"))
 
 
 def millis_text(x: Column) -> Column:
     v = finite(x)
-    return F.when(v >= 1000, F.concat(F.format_number(v / 1000, "0.0"), F.lit("s"))).otherwise(F.concat(F.format_number(v, "0"), F.lit("ms")))
+    return F.when(v >= 1000, F.concat(_shown(v / 1000, 1), F.lit("s"))).otherwise(F.concat(_shown(v, 0), F.lit("ms")))
 
 
 def rfc3339(x: Column) -> Column:
@@ -84,7 +88,7 @@ def local_time(ts: Column, offset: Column) -> Column:
     """The instant shifted to its own zone, for formatting in a UTC session."""
     sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
     minutes = F.when(offset.rlike(r"^[+-]\d{2}:\d{2}$"), sign * (F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int"))).otherwise(0)
-    return F.timestamp_micros(F.unix_micros(ts) + minutes * 60_000_000)
+    return F.timestamp_micros(F.unix_micros(ts) + minutes * F.lit(60_000_000).cast("long"))
 
 
 def day_key(ts: Column, offset: Column) -> Column:
