@@ -180,9 +180,13 @@ _add("w_impv", _over(lambda e: R.negative_tokens(e.withColumn("input_tokens", F.
 def _cases(name: str, f: Callable[[Column], Column], pairs: list[tuple[str, object]]) -> None:
     """A query that applies f to one of the texts of pairs for each event; the SQL has the results."""
     n = len(pairs)
-    raw = F.element_at(F.array(*(F.lit(a) for a, _ in pairs)), (F.col("event_id") % n + 1).cast("int"))
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        raw = F.element_at(F.array(*(F.lit(a) for a, _ in pairs)), (F.col("event_id") % n + 1).cast("int"))
+        return spark.read.parquet(f"{d}/events.parquet").select("event_id", raw.alias("raw")).select("event_id", f(F.col("raw")).alias("result"))
+
     quote = lambda b: str(b).upper() if isinstance(b, bool) else str(b) if isinstance(b, int) else "'" + str(b).replace("'", "''") + "'"
-    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", raw.alias("raw")).select("event_id", f(F.col("raw")).alias("result"))
+    QUERIES[name] = query
     ORACLE_SQL[name] = "SELECT event_id, CASE event_id % " + str(n) + "".join(f" WHEN {i} THEN {quote(b)}" for i, (_, b) in enumerate(pairs)) + " END AS result FROM events"
 
 

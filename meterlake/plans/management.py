@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..config import Settings, read_settings
 from ..operators import aggregates, events, prices, retention
-from ..schema import EVENTS
+from ..schema import EVENT_COLUMNS, EVENTS
 from ..sources import records, storage
 from . import dashboard
+from .keep import kept
 
 
 @dataclass
@@ -31,9 +32,9 @@ class UsageLog:
             self.prices = prices.make(self.spark, {})
 
     def _keep(self, rows: DataFrame, now: Column) -> None:
-        before = rows.count()
-        self.rows = retention.prune(rows, now, self.settings.retention_days, self.settings.max_details_per_model)
-        self.evicted_total += before - self.rows.count()
+        rows = kept(rows)
+        self.rows = kept(retention.prune(rows, now, self.settings.retention_days, self.settings.max_details_per_model))
+        self.evicted_total += rows.count() - self.rows.count()
 
     def configure(self, yaml_text: str, now: Column) -> Settings:
         """Settings of a YAML text; an empty salt there leaves the one in use."""
@@ -44,7 +45,7 @@ class UsageLog:
 
     def record(self, raw: DataFrame, now: Column) -> None:
         """Store pushed records (a text column `value`): decoded, normalized, without repeats."""
-        new = records.normalize(records.decode(raw), now, self.settings)
+        new = kept(records.normalize(records.decode(raw), now, self.settings))
         if self.settings.dedup_window_minutes:
             new = retention.without_known(retention.dedup_live(new, self.settings.dedup_window_minutes), self.rows)
         self._keep(self.rows.unionByName(new), now)
@@ -57,8 +58,10 @@ class UsageLog:
 
     def import_file(self, path: str, now: Column) -> dict:
         """Counts of an import; ImportRejected leaves the log as it is."""
-        new, counts = storage.import_snapshot(self.spark, path, self.rows, now, self.settings)
-        self.last_import = counts.first().asDict()
+        rows = kept(retention.normalize_import(storage.read_snapshot(self.spark, path), now))
+        classified = kept(retention.classify_import(rows, self.rows, now, self.settings.retention_days))
+        new = classified.filter("outcome = 'added'").select(*EVENT_COLUMNS)
+        self.last_import = retention.import_counts(classified).first().asDict()
         self._keep(self.rows.unionByName(new), now)
         return self.last_import
 
