@@ -30,7 +30,9 @@ WORDS, PERCENT = 5, 80
 #: Groups in each of the two collections and minhashes in a group: 72 minhashes make 144 tables of six.
 COLLECTION, GROUP = 12, 3
 #: Bytes of full sets, and classes, in a block of a family.
-BLOCK_BYTES, BLOCK_CLASSES = 8_000_000, 2_048
+BLOCK_BYTES, BLOCK_CLASSES = 8_000_000, 1_024
+#: Pairs that are compared before those that a chain of links joins by then are left out.
+CHUNK = 4_096
 #: Standard deviations below the threshold at which sketches still send a pair to verification.
 DEVIATIONS = 5.5
 
@@ -93,31 +95,30 @@ def forest(rows: list[tuple[int, int, bytes, bytes]], first: int, second: int, p
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
     least = agreement(sketches.shape[1], percent)
-    top = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    candidates = []
+    pairs = []
     other = sketches[beside]
     step = max(1, 8_000_000 // other.size)
     for at in range(0, len(above), step):
         part = above[at : at + step]
-        agree = (sketches[part][:, None, :] == other[None, :, :]).sum(axis=2)
+        agree = (sketches[part][:, None, :] == other[None, :, :]).sum(axis=2, dtype=np.int16)
         x, y = np.nonzero(agree >= least)
-        i, j = np.array(part)[x], np.array(beside)[y]
+        i, j = np.array(part, np.int32)[x], np.array(beside, np.int32)[y]
         ok = i < j if first == second else i >= 0
-        candidates.append(np.stack([agree[x, y][ok], i[ok], j[ok]], 1))
-    found = np.concatenate(candidates)
+        pairs.append((agree[x, y][ok], i[ok], j[ok]))
+    agree, i, j = (np.concatenate(c) for c in zip(*pairs))
+    order = np.argsort(-agree, kind="stable")  # the likeliest links first, so that they join the most
+    i, j = i[order], j[order]
+    component = np.arange(len(rows), dtype=np.int32)
     links = []
-    for _, i, j in found[np.argsort(-found[:, 0], kind="stable")].tolist():
-        x, y = root(i), root(j)
-        if x != y and linked(sets[i], sets[j], percent):
-            top[max(x, y)] = min(x, y)
-            links.append((rows[i][0], rows[j][0]))
+    at = 0
+    while at < len(i):
+        apart = component[i[at:]] != component[j[at:]]
+        i, j, at = i[at:][apart], j[at:][apart], 0
+        for x, y in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist()):
+            if component[x] != component[y] and linked(sets[x], sets[y], percent):
+                component[component == component[y]] = component[x]
+                links.append((rows[x][0], rows[y][0]))
+        at = CHUNK
     return links
 
 
