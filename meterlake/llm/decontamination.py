@@ -66,7 +66,7 @@ def qgrams(points: np.ndarray, q: int) -> np.ndarray:
     steps = {1: codes}
     while have * 2 <= q:
         codes = codes[:-have] * power + codes[have:]
-        have, power = have * 2, power * power
+        have, power = have * 2, np.uint64(int(power) ** 2 % 2**64)
         steps[have], powers[have] = codes, power
     out, length = codes, have
     n = len(points) - q + 1

@@ -28,6 +28,8 @@ TRAIN_ROWS, STEPS, SMOOTHING = 2_000, 2, 0.05
 UNCOVERED = 1e-6
 #: Words remembered by a process, and the longest of them in characters with the leading space.
 MEMORY_WORDS, MEMORY_CHARS = 300_000, 32
+#: Words whose lattices are built at once in an EM step.
+TOGETHER = 20_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -78,6 +80,18 @@ class Lattice:
             np.add.at(into, ids, alpha[start, rows] * use)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows of batches, some `most` at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        if len(held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def by_length(words: list[str]) -> dict[int, list[int]]:
     out = defaultdict(list)
     for i, w in enumerate(words):
@@ -194,13 +208,11 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", lang: str =
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             into = np.zeros((len(languages), size + 1))
-            for batch in batches:
-                langs, words, n = (c.to_pylist() for c in batch.columns)
+            for rows in chunks(batches, TOGETHER):
                 for k, x in enumerate(languages):
-                    own = [i for i, y in enumerate(langs) if y == x]
-                    for group in by_length([words[i] for i in own]).values():
-                        at = [own[g] for g in group]
-                        Lattice([SPACE + words[i] for i in at], shared.value).expected(now.value[:, k], np.array([n[i] for i in at], float), into[k])
+                    own = [(w, n) for y, w, n in rows if y == x]
+                    for group in by_length([w for w, _ in own]).values():
+                        Lattice([SPACE + own[i][0] for i in group], shared.value).expected(now.value[:, k], np.array([own[i][1] for i in group], float), into[k])
             k, i = np.nonzero(into[:, :size])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(into[k, i])], ["k", "i", "x"])
 
