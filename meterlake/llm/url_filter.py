@@ -86,7 +86,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     return arrived.groupBy("host").agg(sums(0).alias("trust"), sums(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
     """key, host, path, rule and verdict of every row.
 
     The longest fitting rule decides. Where none fits, a host is blocked if its distrust exceeds the
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     ruled = materialize(named.select(key, "host", "path", rule.alias("rule"), verdict.alias("ruled")), "ruled-pages")
     share = lambda word: F.avg(F.when(F.col("ruled") == word, 1.0).otherwise(0.0))
     seeds = ruled.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(pages, url, html))
+    scores = propagate(seeds, host_edges(pages, url, html), iterations=iterations)
     bad = materialize(scores.filter((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("spread")), "blocked-hosts")
     return ruled.join(bad, "host", "left").select(key, "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
 
