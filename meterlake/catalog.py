@@ -304,5 +304,31 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["s_rec_stream"] = lambda spark, d: _plain_time(_streamed(spark, d).select("api", "model", "ts", "total_tokens", "failed"))
 ORACLE_SQL["s_rec_stream"] = f"SELECT api, model, ts, total_tokens, failed FROM ({_INGESTED})"
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Running counts by api and model of the records, kept by a streaming aggregation over several files."""
+    from .streaming import ingest
+
+    source = _written(_pushed(spark, d), lambda x, p: x.select("value").repartition(3).write.text(p))
+    counts = ingest.running_counts(ingest.event_stream(ingest.record_stream(spark, source, 1), Settings(dedup_window_minutes=0), expire=False))
+    out = f"{source}-counts"
+    ingest.keep_latest(counts, out, f"{source}-checkpoint").awaitTermination()
+    return spark.read.parquet(out)
+
+
+QUERIES["a_inc_stream"] = _counted
+ORACLE_SQL["a_inc_stream"] = f"SELECT api, model, {D.M4} FROM ({_INGESTED}) GROUP BY api, model"
+
+
+def _saved_prices(spark: SparkSession, d: str) -> DataFrame:
+    import json
+
+    doc = json.dumps({"updated_at": "2024-01-01T00:00:00Z", "prices": {m: dict(zip(("prompt", "completion", "cache"), p)) for m, p in {**D.PRICED, " ": (1, 1, 1), "free": (-1, 0, 0)}.items()}})
+    return P.read(spark, _written(spark.range(1).select(F.lit(doc).alias("value")), lambda x, p: x.write.text(p)))
+
+
+_add("s_price", _saved_prices, "SELECT * FROM prices", D.PRICE_ROWS)
+_add("p_imp", _timed(lambda e, now: _plain_time(R.normalize_import(e.withColumns({"outer_api": F.col("api"), "outer_model": F.col("model"), "model": F.when(F.col("ingest_seq") % 2 == 0, " ").otherwise(F.col("model")), "latency_ms": F.col("latency_ms") - 300, "total_tokens": F.lit(0).cast("long"), "source": F.lit("shop")}), now).select("ingest_seq", "ts", "api", "model", "latency_ms", "total_tokens"))),
+     "SELECT ingest_seq, ts, provider || ' · shop' AS api, model, greatest(latency_ms - 300, 0) AS latency_ms, input_tokens + output_tokens + reasoning_tokens AS total_tokens FROM ev")
 _add("dashboard_models", _priced(lambda e, p: dashboard.model_costs(e, p)),
      f"SELECT b.*, round({_RATE.replace('count(*) FILTER (NOT failed)', 'success_count').replace('count(*)', 'total_requests')}, 6) AS success_rate, CASE WHEN success_count / total_requests::DOUBLE * 100 >= 95 THEN 'ok' WHEN success_count / total_requests::DOUBLE * 100 >= 80 THEN 'neutral' ELSE 'bad' END AS rate_class, round({D.COST}, 6) AS cost FROM (SELECT model, {D.M8}, {D.LAT} FROM ev GROUP BY model) b LEFT JOIN prices USING (model)", D.PRICE_ROWS)

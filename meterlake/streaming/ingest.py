@@ -56,3 +56,12 @@ def stored(spark: SparkSession, table_path: str) -> DataFrame:
 def running_counts(events: DataFrame) -> DataFrame:
     """Requests, successes, failures and tokens by api and model, kept up to date (update mode)."""
     return events.groupBy("api", "model").agg(*aggregates.measures4())
+
+
+def keep_latest(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run over all input there is and leave the newest counts in a Parquet folder."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
