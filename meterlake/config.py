@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import asdict, dataclass, fields, replace
 
+# The section's name in a YAML document, and words for true and false there.
 PLUGIN = "usage-statistics"
 TRUE, FALSE = ("true", "yes", "on", "1"), ("false", "no", "off", "0")
 
