@@ -19,13 +19,14 @@ from .shared import small_batches, table
 from .vocabulary import PIECES, SPACE, Vocabulary
 
 #: Entries and characters of the per-process memory of encoded words.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 48
+MEMORY_WORDS, MEMORY_CHARS = 600_000, 48
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}  # of this generation; words that the one before knows come over when they are used
+        self.before: dict[str, bytes] = {}
 
     def unknown(self, c: str) -> list[int]:
         if not self.v.byte_ids:
@@ -35,7 +36,7 @@ class Encoder:
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of text, spaces already replaced, in committed runs. Ties go to the longer last piece."""
         trie, scores, bad = self.v.trie, self.v.scores, self.v.unknown_score
-        longest = self.v.longest
+        longest, worst = self.v.longest, float("-inf")
         best: dict[int, float] = {0: 0.0}  # positions in the window
         back: dict[int, tuple[int, int]] = {}  # position: (start of its last piece, id; -1 unknown), since the last commit
         committed = 0
@@ -46,14 +47,16 @@ class Encoder:
             covered = False
             while end < n and (node := node.get(text[end])) is not None:
                 end += 1
-                i = node.get("")
-                if i is not None:
-                    covered |= end == at + 1
-                    if (s := here + scores[i]) > best.get(end, float("-inf")):
+                if "" in node:
+                    i = node[""]
+                    if end == at + 1:
+                        covered = True
+                    s = here + scores[i]
+                    if s > best.get(end, worst):
                         best[end], back[end] = s, (at, i)
-            if not covered and (s := here + bad) > best.get(at + 1, float("-inf")):
+            if not covered and (s := here + bad) > best.get(at + 1, worst):
                 best[at + 1], back[at + 1] = s, (at, -1)
-            if len(best) == 1 or at - committed >= 2 * longest and at % longest == 0:
+            if at - committed >= longest and (len(best) == 1 or at % longest == 0):
                 to = self.convergence(best, back, committed)
                 if to > committed:
                     yield self.run(text, back, committed, to)
@@ -81,13 +84,15 @@ class Encoder:
 
     def word_ids(self, word: str) -> bytes:
         """Ids of one stretch between cuts as 32-bit integers; short ones are remembered."""
-        ids = array("i")
-        for part in self.stream(word.replace(" ", SPACE)):
-            ids.extend(part)
-        got = ids.tobytes()
+        got = self.before.get(word)
+        if got is None:
+            ids = array("i")
+            for part in self.stream(word.replace(" ", SPACE)):
+                ids.extend(part)
+            got = ids.tobytes()
         if len(word) <= MEMORY_CHARS:
-            if len(self.memory) >= MEMORY_WORDS:
-                self.memory.clear()
+            if 2 * len(self.memory) >= MEMORY_WORDS:
+                self.before, self.memory = self.memory, {}
             self.memory[word] = got
         return got
 
