@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import bounded_sample, materialize, table
 from .text_stats import document_stats
 
 #: Share of the pooled covariance, and of its diagonal, in each class covariance; least variance of a feature.
@@ -108,7 +108,7 @@ def held_out(key: str) -> Column:
 def training_labels(labels: DataFrame, label: str, key: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """Distinct (key, label) that aren't held out: the rows with the smallest hashes, a bounded number of them."""
     told = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(~held_out("key") & F.col("label").isin(0, 1)).distinct()
-    return told.orderBy(F.xxhash64("key", "label"), "key", "label").limit(rows)
+    return bounded_sample(told, "key", rows)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> dict:

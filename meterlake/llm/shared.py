@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Words of a text, as all contracts here define them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,3 +53,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """At most `most` rows of df (of each value of by), those with the smallest hashes of key.
+
+    Rows are counted first, and a hash threshold leaves about twice as many as are asked for, so the
+    last choice sees a few thousand rows at any size of df. by has few values, such as languages: their
+    counts are broadcast, so that no row moves before the threshold has been applied.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / float(2**53)
+    counts = df.groupBy(*([by] if by else [])).agg(F.count("*").alias("_n"))
+    met = df.join(F.broadcast(counts), by) if by else df.crossJoin(counts)  # counts: one row for each value, or one
+    thinned = met.withColumn("_at", place).filter(F.col("_at") * F.col("_n") < 2.0 * most + 1000)
+    if by is None:
+        return thinned.orderBy("_at", *df.columns).limit(most).select(*df.columns)
+    first = Window.partitionBy(by).orderBy("_at", key)
+    return thinned.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= most).select(*df.columns)
