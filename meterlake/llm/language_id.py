@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_classifier import held_out
-from .shared import materialize, small_batches, table
+from .shared import bounded_sample, materialize, small_batches, table
 from .vocabulary import PIECES, SPACE, Vocabulary
 
 #: Documents of each language that the model is fitted on, at most; EM steps; added to each expected count.
@@ -172,9 +172,7 @@ def training_words(docs: DataFrame, text: str, lang: str, key: str, rows: int =
     spark = docs.sparkSession
     small_batches(spark)
     told = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & ~held_out("key"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = told.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).select("key", "lang").distinct()
-    chosen = F.broadcast(materialize(chosen, "language-sample"))  # rows times the number of languages
+    chosen = F.broadcast(materialize(bounded_sample(told, "key", rows, "lang").distinct(), "language-sample"))  # rows times the number of languages
     sample = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, ["key", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
