@@ -1,10 +1,10 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Two strings of length w within e edits share at least w + 1 - q * (e + 1) of their q-grams, and the
-shared ones lie in a band of diagonals as wide as the budget. Items are cut into overlapping windows;
-shared q-grams are counted for each window in overlapping diagonal bands; bands that reach the bound
-are verified by a banded alignment. Documents are read once and never shuffled; the windows of the
-benchmark are broadcast in blocks of a fixed size, so a larger benchmark takes more passes, not more
+shared ones lie in a band of diagonals as wide as the budget. Every stretch of an item of a window's
+length counts: a window slides over the q-grams that an item shares with a text in each of overlapping
+diagonal bands; where it reaches the bound, a banded alignment verifies it. Documents are read once
+and never shuffled; the items of the benchmark are broadcast in blocks of a fixed size, so a larger benchmark takes more passes, not more
 memory.
 """
 
@@ -26,6 +26,8 @@ Q, WINDOW, EDITS = 10, 64, 3
 BLOCK_CHARS = 2_000_000
 #: Characters of documents that are looked up at once.
 CHUNK = 1 << 20
+#: Windows that are aligned at once, and bits that hold a diagonal of a band.
+TOGETHER, START_BITS = 4_096, 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,46 +85,51 @@ def budget(length: int, window: int = WINDOW, edits: int = EDITS) -> int:
 
 @dataclass
 class Index:
-    """Windows of benchmark items and where each q-gram stands in them."""
+    """Benchmark items and where each q-gram stands in them. Every stretch of a window's length is a window."""
 
     window: int
     q: int
     edits: int
-    items: np.ndarray  # of each window
-    starts: np.ndarray  # in the item's normal form
-    texts: list[np.ndarray]
-    least: np.ndarray  # shared q-grams that the lemma asks for
+    keys: np.ndarray  # of each item
+    flat: np.ndarray  # normal forms of all items
+    begins: np.ndarray  # of each item in flat, and the end
     codes: np.ndarray  # sorted, distinct
     offsets: np.ndarray  # of each code in places
-    places: np.ndarray  # rows of (window, position)
+    places: np.ndarray  # rows of (item, position)
     filter: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], window: int = WINDOW, edits: int = EDITS, q: int = Q) -> Index:
-        """Windows start every half window; the last one ends with its item. Items of fewer than q characters have none."""
-        items, starts, texts, least, codes, places = [], [], [], [], [], []
+        """Windows start at every character; an item of less than a window is one. Items of fewer than q characters have none."""
+        keys, forms, codes, places = [], [], [], []
         for item, text in rows:
             points, _ = normal(text)
             while len(points) and points[-1] == 32:
                 points = points[:-1]
             if len(points) < q:
                 continue
-            last = max(0, len(points) - window)
-            for start in sorted({*range(0, last, max(1, window // 2)), last}):
-                part = points[start : start + window]
-                grams = qgrams(part, q)
-                codes.append(grams)
-                places.append(np.stack([np.full(len(grams), len(items)), np.arange(len(grams))], 1))
-                items.append(item)
-                starts.append(start)
-                texts.append(part)
-                least.append(max(1, len(part) + 1 - q * (budget(len(part), window, edits) + 1)))
+            grams = qgrams(points, q)
+            codes.append(grams)
+            places.append(np.stack([np.full(len(grams), len(keys)), np.arange(len(grams))], 1))
+            keys.append(item)
+            forms.append(points)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         distinct, offsets = np.unique(flat[order], return_index=True)
         bits = np.zeros(1 << 20, bool)
         bits[_slot(distinct)] = True
-        return cls(window, q, edits, np.array(items, np.int64), np.array(starts, np.int64), texts, np.array(least, np.int64), distinct, np.append(offsets, len(flat)), (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order], bits)
+        begins = np.cumsum([0] + [len(x) for x in forms])
+        return cls(window, q, edits, np.array(keys, np.int64), np.concatenate(forms) if forms else np.zeros(0, np.uint32), begins, distinct, np.append(offsets, len(flat)), (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order], bits)
+
+    @property
+    def texts(self) -> list[np.ndarray]:
+        """All windows."""
+        return [self.flat[x : x + min(n, self.window)] for b, n in zip(self.begins, np.diff(self.begins)) for x in range(b, b + max(0, n - self.window) + 1)]
+
+    @property
+    def items(self) -> np.ndarray:
+        """The item of each window."""
+        return np.repeat(self.keys, np.maximum(0, np.diff(self.begins) - self.window) + 1)
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of every verified region, start and end in characters of the text."""
@@ -142,7 +149,8 @@ class Index:
     def _regions(self, forms, owners) -> Iterator[tuple[int, int, int, int, int]]:
         gap = np.full(self.q, 0xFFFFFFF0, np.uint32)  # no q-gram runs from one text into the next
         begins = np.cumsum([0] + [len(p) + self.q for p, _ in forms])
-        codes = qgrams(np.concatenate([x for p, _ in forms for x in (p, gap)]), self.q)
+        flat = np.concatenate([x for p, _ in forms for x in (p, gap)])
+        codes = qgrams(flat, self.q)
         hit = np.flatnonzero(self.filter[_slot(codes)])
         found = np.searchsorted(self.codes, codes[hit])
         ok = (found < len(self.codes)) & (self.codes[np.minimum(found, len(self.codes) - 1)] == codes[hit])
@@ -152,72 +160,108 @@ class Index:
         times = self.offsets[found + 1] - self.offsets[found]
         at = np.repeat(hit, times)
         row = np.repeat(self.offsets[found], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        windows, inner = self.places[row, 0], self.places[row, 1]
+        item, inner = self.places[row, 0], self.places[row, 1]
+        owner = np.searchsorted(begins, at, "right") - 1
         # a band is twice the budget wide, and the next one starts half a band on
-        step, length = max(1, self.edits), int(begins[-1]) + 1
-        width = length // step + self.window + 2
-        key = windows * width + (at - inner + self.window) // step
-        # a q-gram of the document counts once for a band and window
-        pairs = np.unique(np.concatenate([key, key - 1]) * length + np.concatenate([at, at]))
-        keys, first, counts = np.unique(pairs // length, return_index=True, return_counts=True)
-        enough = counts >= self.least[np.minimum(keys // width, len(self.least) - 1)]
-        keys, owner = keys[enough], np.searchsorted(begins, pairs[first[enough]] % length, "right") - 1
-        seen: set[tuple[int, int, int]] = set()
-        for x, k in zip(keys.tolist(), owner.tolist()):
-            w, band = divmod(x, width)
-            points, places = forms[k]
-            low = band * step - self.window - int(begins[k])  # lowest diagonal of the band, in its text
-            got = align(self.texts[w], points, low, 2 * step, budget(len(self.texts[w]), self.window, self.edits))
-            if got is None:
-                continue
-            start, end, edits = got
-            if (k, w, end) not in seen:
-                seen.add((k, w, end))
-                yield owners[k], int(self.items[w]), int(places[start]), int(places[end - 1]) + 1, edits
+        step, sizes = max(1, self.edits), np.diff(self.begins)
+        ahead = int(sizes.max())
+        width = (int(begins[-1]) + ahead) // step + 3
+        key = item * width + (at - inner + ahead) // step + 1
+        key, owner, inner = np.concatenate([key, key - 1]), np.concatenate([owner, owner]), np.concatenate([inner, inner])
+        order = np.lexsort((inner, owner, key))
+        key, owner, inner = key[order], owner[order], inner[order]
+        # a q-gram of the item counts once for a band and text
+        fresh = np.append(True, (np.diff(key) != 0) | (np.diff(owner) != 0) | (np.diff(inner) != 0))
+        key, owner, inner = key[fresh], owner[fresh], inner[fresh]
+        group = np.cumsum(np.append(False, (np.diff(key) != 0) | (np.diff(owner) != 0)))
+        item = key // width
+        size = np.minimum(sizes[item], self.window)
+        least = np.maximum(1, size + 1 - self.q * (budget(size, self.window, self.edits) + 1))
+        # windows that hold this q-gram and as many after it as the lemma asks for
+        last = np.arange(len(key)) + least - 1
+        ok = np.flatnonzero(last < len(key))
+        ok = ok[(group[last[ok]] == group[ok]) & (inner[last[ok]] - inner[ok] <= size[ok] - self.q)]
+        if not len(ok):
+            return
+        low = np.maximum(0, inner[last[ok]] - (size[ok] - self.q))
+        high = np.minimum(inner[ok], sizes[item[ok]] - size[ok])
+        again = np.append(False, group[ok][1:] == group[ok][:-1])
+        low = np.where(again, np.maximum(low, np.append(0, high[:-1]) + 1), low)  # each window once for a band and text
+        times = np.maximum(0, high - low + 1)
+        ends = np.cumsum(times)
+        yield from self._verified(forms, owners, flat, begins, step, ahead, width, ok, low, times, ends, key, owner)
+
+    def _verified(self, forms, owners, flat, begins, step, ahead, width, ok, low, times, ends, key, owner) -> Iterator[tuple[int, int, int, int, int]]:
+        """Aligns the windows low ... low + times of the bands at ok, some at once, and merges those that match."""
+        sizes, found = np.diff(self.begins), []
+        lengths = np.array([len(p) for p, _ in forms])
+        for x in range(0, int(ends[-1]), TOGETHER):
+            number = np.arange(x, min(x + TOGETHER, int(ends[-1])))
+            at = np.searchsorted(ends, number, "right")
+            start = low[at] + number - (ends[at] - times[at])
+            item, band = np.divmod(key[ok[at]], width)
+            text = owner[ok[at]]
+            first = (band - 1) * step - ahead - begins[text] + start  # where the band's lowest diagonal puts the window
+            size = np.minimum(sizes[item], self.window)
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                patterns = self.flat[(self.begins[item[own]] + start[own])[:, None] + np.arange(n)]
+                got = align(patterns, flat, begins[text[own]], lengths[text[own]], first[own], 2 * step, budget(n, self.window, self.edits))
+                good = np.flatnonzero(got[2] >= 0)
+                found.append(np.stack([text[own[good]], item[own[good]], *(c[good] for c in got)], 1))
+        for k, w, start, end, edits in merged(np.concatenate(found)):
+            places = forms[k][1]
+            yield owners[k], int(self.keys[w]), int(places[start]), int(places[end - 1]) + 1, edits
+
+
+def merged(rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits): overlapping extents of a text and item as one, with the fewest edits."""
+    now = None
+    for k, w, start, end, edits in np.unique(rows, axis=0).tolist():
+        if now and now[:2] == [k, w] and start < now[3]:
+            now[3], now[4] = max(now[3], end), min(now[4], edits)
+        else:
+            if now:
+                yield tuple(now)
+            now = [k, w, start, end, edits]
+    if now:
+        yield tuple(now)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * _PRIME) >> np.uint64(44)).astype(np.int64)
 
 
-def align(pattern: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int, int] | None:
-    """Best place of pattern in text with at most `most` edits on diagonals near first ... first + width.
+def align(patterns: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, first: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best place of each pattern in its text with at most `most` edits on diagonals near first ... first + width.
 
-    Returns (start, end, edits) or None. Cells whose cost exceeds the budget are dropped, so the band
-    stays within `most` diagonals of those asked for.
+    patterns: rows of one length; text i is flat[begins[i] : begins[i] + lengths[i]]. Returns starts,
+    ends and edits, -1 where there is no such place; of the best places the one that ends first. The
+    band holds `most` diagonals more than asked for on both sides, as no path leaves it by more.
     """
-    for start in range(max(0, first), min(first + width, len(text) - len(pattern)) + 1):
-        if np.array_equal(text[start : start + len(pattern)], pattern):
-            return start, start + len(pattern), 0
-    low, high = first - most, first + width + most
-    p, n = pattern.tolist(), len(text)
-    part_from = max(0, low)
-    part = text[part_from : max(0, min(n, len(p) + high + 1))].tolist()
-    cost = {}  # column (end of the text's part): (edits, start)
-    for j in range(len(part) + 1):
-        if low <= part_from + j <= high:
-            cost[j] = (0, j)
-    for i, c in enumerate(p, 1):
-        new: dict[int, tuple[int, int]] = {}
-        left = None
-        for j in range(max(0, i + low - part_from), min(len(part), i + high - part_from) + 1):
-            best = None
-            if (x := cost.get(j)) is not None and x[0] < most:
-                best = (x[0] + 1, x[1])
-            if j and (x := cost.get(j - 1)) is not None:
-                s = x[0] + (part[j - 1] != c)
-                if s <= most and (best is None or s < best[0]):
-                    best = (s, x[1])
-            if left is not None and left[0] < most and (best is None or left[0] + 1 < best[0]):
-                best = (left[0] + 1, left[1])
-            if best is not None:
-                new[j] = best
-            left = best
-        if not new:
-            return None
-        cost = new
-    end, (edits, start) = min(cost.items(), key=lambda x: (x[1][0], x[0]))
-    return (part_from + start, part_from + end, edits) if end > start else None
+    n, diagonals = patterns.shape[1], width + 2 * most + 1
+    base = first - most
+    where = base[None, :] + np.arange(n + diagonals)[:, None]
+    inside = (where >= 0) & (where < lengths)
+    strip = np.where(inside, flat[np.clip(where + begins, 0, len(flat) - 1)], 0xFFFFFFFF).astype(np.uint32)
+    place = np.arange(diagonals, dtype=np.int32)[:, None]
+    # edits in the upper bits; below them the start, the latest being the smallest
+    cost = np.where((where[:diagonals] >= 0) & (where[:diagonals] <= lengths), diagonals - 1 - place, 1 << 29).astype(np.int32)
+    one = np.int32(1 << START_BITS)
+    slope = place * one
+    for i, c in enumerate(np.ascontiguousarray(patterns.T)):
+        new = cost + (strip[i : i + diagonals] != c) * one
+        np.minimum(new[:-1], cost[1:] + one, out=new[:-1])
+        new -= slope
+        np.minimum.accumulate(new, axis=0, out=new)
+        cost = new + slope
+    edits = cost >> START_BITS
+    end = edits.argmin(axis=0)
+    each = np.arange(len(end))
+    best = edits[end, each]
+    start = base + diagonals - 1 - (cost[end, each] & ((1 << START_BITS) - 1))
+    end = np.minimum(base + n + end, lengths)
+    return start, end, np.where((best <= most) & (end > start), best, -1)
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -237,8 +281,9 @@ def blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS)
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, edits: int = EDITS) -> DataFrame:
     """key, item, start, end, edits: a row for every verified region of every document.
 
-    A region matches a window of `window` characters of an item (the whole item, if shorter, with
-    a budget in proportion) within `edits` edits, both in normal form. Whole texts are searched.
+    A region matches any stretch of `window` characters of an item (the whole item, if shorter, with
+    a budget in proportion) within `edits` edits, both in normal form; overlapping matches of an item
+    are one region with the edits of the closest. Whole texts are searched.
     Null and empty texts and items shorter than a q-gram give nothing; repeated rows give their
     regions each; an empty benchmark gives none; other columns are ignored.
     """
@@ -265,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and item that leaks into it: matched windows, their extent and fewest edits."""
+    """A row for each document and item that leaks into it: matched regions, their extent and fewest edits."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_regions"), F.min("start").alias("first_char"), F.max("end").alias("last_char"), F.min("edits").alias("least_edits"))
 

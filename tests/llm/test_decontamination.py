@@ -97,3 +97,14 @@ def test_leaks_at_the_ends_of_a_text(cut):
     item = "several words that stand in one line and are long enough to be a window"
     index = D.Index.build([(1, item)], window=64)
     assert {f[1] for f in index.search(["before that", item[cut:], "after", item[: len(item) - cut]])} == {1}
+
+
+def test_runs_of_a_window_count_wherever_they_start():
+    rng = random.Random(12)
+    item = prose(rng, 50)[:200].strip()
+    index = D.Index.build([(4, item)])
+    runs = [(a, n) for n in (64, 70, 88, 95) for a in range(0, len(item) - n + 1)]
+    runs = [(a, n) for a, n in runs if item[a] != " " != item[a + n - 1]]
+    texts = ["1 2 3 4 5 6 7 8 9 " + item[a : a + n] + " 9 8 7 6 5 4 3 2 1" for a, n in runs]
+    assert {f[0] for f in index.search(texts)} == set(range(len(texts)))
+    assert not list(index.search([item[40:96], item[100:158]]))
