@@ -55,18 +55,20 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, iterations: int = ITERATIONS, by_source: bool = False) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust) over edges (source, target, n).
 
     Each step sends on what the step before has brought; the sum over the steps is the personalised
     PageRank over (1 - damping). It ends when what is on its way is below tolerance of what arrived.
-    Mass at a host without links ends there. Each step is written to the shared folder.
+    Mass at a host without links ends there. Each step is written to the shared folder. Distrust is
+    divided among those that link to a host or, by_source, reaches each of them in proportion to its
+    own links, so that it doesn't shrink with their number.
     """
     edges = materialize(edges, "host-edges")
     out = edges.groupBy("source").agg(F.sum("n").alias("all"))
     into = edges.groupBy("target").agg(F.sum("n").alias("all"))
     ways = edges.join(out, "source").select(F.lit(0).alias("kind"), F.col("source").alias("host"), F.col("target").alias("next"), (F.col("n") / F.col("all")).alias("share"))
-    back = edges.join(into, "target").select(F.lit(1).alias("kind"), F.col("target").alias("host"), F.col("source").alias("next"), (F.col("n") / F.col("all")).alias("share"))
+    back = (edges.join(out, "source") if by_source else edges.join(into, "target")).select(F.lit(1).alias("kind"), F.col("target").alias("host"), F.col("source").alias("next"), (F.col("n") / F.col("all")).alias("share"))
     ways = materialize(ways.union(back), "host-ways")
     pair = F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").cast("double").alias("mass")), F.struct(F.lit(1).alias("kind"), F.col("distrust").cast("double").alias("mass")))
     step = materialize(seeds.select("host", F.explode(pair).alias("x")).select("x.kind", "host", "x.mass").filter("mass > 0"), "host-mass")
@@ -86,11 +88,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     return arrived.groupBy("host").agg(sums(0).alias("trust"), sums(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, by_source: bool = False) -> DataFrame:
     """key, host, path, rule and verdict of every row.
 
     The longest fitting rule decides. Where none fits, a host is blocked if its distrust exceeds the
-    threshold and its trust. A host's seeds are the shares of its pages that rules allow and block.
+    threshold and its trust. With by_source, distrust is the damped share of a host's links that lead
+    to blocked hosts, whatever the number of hosts that link there; without, as in the query's SQL,
+    a blocked host's distrust is divided among them. A host's seeds are the shares of its pages that rules allow and block.
     A null url, or one without `://`, has an empty host and path and is allowed. Repeated rows are
     judged alike and count as often; other columns are ignored; an empty table gives no rows.
     """
@@ -99,7 +103,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     ruled = materialize(named.select(key, "host", "path", rule.alias("rule"), verdict.alias("ruled")), "ruled-pages")
     share = lambda word: F.avg(F.when(F.col("ruled") == word, 1.0).otherwise(0.0))
     seeds = ruled.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(pages, url, html), iterations=iterations)
+    scores = propagate(seeds, host_edges(pages, url, html), iterations=iterations, by_source=by_source)
     bad = materialize(scores.filter((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("spread")), "blocked-hosts")
     return ruled.join(bad, "host", "left").select(key, "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
 

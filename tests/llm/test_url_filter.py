@@ -81,3 +81,12 @@ def test_sql_says_the_same_with_links(spark):
     rel = c.sql(U.OP4_SQL)
     want = {r[0]: r for r in rel.select("page_id, host, path, rule, verdict").fetchall()}
     assert {r["page_id"]: (r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(pages, iterations=8).collect()} == want
+
+
+@pytest.mark.parametrize("k", [1, 2, 7])
+def test_distrust_by_source_does_not_shrink_with_the_number_of_linkers(spark, k):
+    rows = [(0, "http://bad.net/es/1", "")] + [(i, f"http://farm{i}.org/", '<a href="http://bad.net/es/1">') for i in range(1, k + 1)]
+    rows += [(50, "http://mixed.org/", '<a href="http://bad.net/">' + '<a href="http://other.org/">' * 3), (51, "http://other.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in U.judge(pages, iterations=8, by_source=True).collect()}
+    assert verdicts == {0: "block", 50: "allow", 51: "allow", **{i: "block" for i in range(1, k + 1)}}
