@@ -27,8 +27,10 @@ from .shingles import Tensored, fingerprint, shingles
 
 #: Shingle words and similarity in percent, unless a contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Groups in each of the two collections and minhashes in a group: 72 minhashes make 144 tables of six.
+#: Groups in each of the two collections at 85 percent and minhashes in a group: 72 minhashes make 144 tables of six.
 COLLECTION, GROUP = 12, 3
+#: Probability that a pair at the threshold may escape all tables.
+ESCAPE = 2.5e-5
 #: Bytes of full sets, and classes, in a block of a family.
 BLOCK_BYTES, BLOCK_CLASSES = 8_000_000, 1_024
 #: Pairs that are compared before those that a chain of links joins by then are left out.
@@ -37,6 +39,12 @@ CHUNK = 4_096
 DEVIATIONS = 5.5
 
 
+def groups_for(percent: int, group: int = GROUP) -> int:
+    """Groups of a collection by which a pair at the threshold escapes with at most ESCAPE: 12 at 85, 16 at 80 percent."""
+    missed = 1 - (percent / 100) ** group
+    return max(1, math.ceil(math.log(ESCAPE / 2) / math.log(missed))) if missed else 1
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, tensored: Tensored) -> DataFrame:
     small_batches(docs.sparkSession)
 
@@ -157,17 +165,17 @@ def verified_links(docs: DataFrame, key: str, text: str, classes: DataFrame, fam
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, collection: int = COLLECTION, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, collection: int | None = None, group: int = GROUP) -> DataFrame:
     """key, n_shingles, component_id (the smallest key of the component) and kept for every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of shingles.
     Null and blank texts have no shingles and are linked with nothing. Equal texts are linked
     whatever their number. Rows that repeat a key are one document. A pair at the threshold escapes
-    the tables with a probability of about 2 * (1 - s ** group) ** collection, 2 in 100,000 here;
-    nothing that is linked falsely passes the verification. Keys must be whole numbers; other
+    the tables with a probability of about 2 * (1 - s ** group) ** collection, 2 in 100,000 with the
+    collection that groups_for() gives, which is used where none is set; nothing that is linked falsely passes the verification. Keys must be whole numbers; other
     columns are ignored; an empty table gives no rows.
     """
-    tensored = Tensored(collection, group)
+    tensored = Tensored(collection or groups_for(percent, group), group)
     signed = materialize(signatures(docs, key, text, words, tensored), "signatures")
     equal = materialize(signed.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "classes")
     classes = signed.join(equal.withColumnRenamed("node", "id"), ["print", "id"]).select(F.col("id").alias("node"), "n", "left", "right", "sketch")

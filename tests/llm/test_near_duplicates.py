@@ -109,3 +109,13 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {k: v for k, v in top.items() if k in got} and all(top[k] == k for k in top if k not in got)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_suffice_at_any_threshold(documents, monkeypatch):
+    assert M.groups_for(85) == M.COLLECTION == 12 and M.groups_for(80) == 16 and M.groups_for(100) == 1
+    assert all(2 * (1 - (p / 100) ** g) ** M.groups_for(p, g) <= M.ESCAPE for p in range(50, 100) for g in (3, 4))
+    made = []
+    monkeypatch.setattr(M, "Tensored", lambda *a: made.append(a) or Tensored(*a))
+    M.near_duplicates(documents(["a b"]))
+    M.near_duplicates(documents(["a b"]), words=3, percent=85)
+    assert made == [(16, 3), (12, 3)]
