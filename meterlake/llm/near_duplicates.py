@@ -59,9 +59,9 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, tensored: Tenso
                 left.append(keys[0].tolist() if len(codes) else [])
                 right.append(keys[1].tolist() if len(codes) else [])
                 sketches.append(sketch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n", "print", "left", "right", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "hash", "n", "print", "left", "right", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, print binary, left array<long>, right array<long>, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, "id long, hash long, n long, print binary, left array<long>, right array<long>, sketch binary")
 
 
 def ties(classes: DataFrame) -> DataFrame:
@@ -132,18 +132,20 @@ def forest(rows: list[tuple[int, int, bytes, bytes]], first: int, second: int, p
 
 def verified_links(docs: DataFrame, key: str, text: str, classes: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links that span all links inside the families (node, component)."""
-    members = families.join(classes.select("node", "n", "sketch"), "node")
+    members = families.join(classes.select("node", "least", F.col("hash").alias("at"), "print", "n", "sketch"), "node")
     sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
     members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    texts = texts.filter("id IS NOT NULL").union(texts.filter("id IS NULL").dropDuplicates(["hash"]))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], ["node", "component", "blocks", "block", "sketch", "codes"])
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            own = pa.array([fingerprint(x) == y for x, y in zip(sets, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "component", "blocks", "block", "sketch", "codes"]).filter(own)
 
-    found = texts.join(members.select("node", "component", "blocks", "block", "sketch"), "node")
-    sets = found.select("node", "text", "component", "blocks", "block", "sketch").mapInArrow(full, "node long, component long, blocks int, block int, sketch binary, codes binary")
+    found = texts.join(members, texts["id"].eqNullSafe(members["least"]) & (texts["hash"] == members["at"]))
+    sets = found.select("text", "print", "node", "component", "blocks", "block", "sketch").mapInArrow(full, "node long, component long, blocks int, block int, sketch binary, codes binary")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "block", "codes", "sketch")
     dealt = dealt.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second")
@@ -165,28 +167,46 @@ def verified_links(docs: DataFrame, key: str, text: str, classes: DataFrame, fam
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, collection: int | None = None, group: int = GROUP) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key of the component) and kept for every row of docs.
+def judged(docs: DataFrame, key: str, text: str, words: int, percent: int, collection: int | None, group: int) -> DataFrame:
+    """id, hash (of the text), n, component_id and kept for every row of docs, as near_duplicates() says.
 
-    Two documents are linked if 100 * intersection >= percent * union of their sets of shingles.
-    Null and blank texts have no shingles and are linked with nothing. Equal texts are linked
-    whatever their number. Rows that repeat a key are one document. A pair at the threshold escapes
-    the tables with a probability of about 2 * (1 - s ** group) ** collection, 2 in 100,000 with the
-    collection that groups_for() gives, which is used where none is set; nothing that is linked falsely passes the verification. Keys must be whole numbers; other
-    columns are ignored; an empty table gives no rows.
+    A class, the rows of equal sets, is numbered (node) and read by one row of its smallest key (least).
     """
     tensored = Tensored(collection or groups_for(percent, group), group)
     signed = materialize(signatures(docs, key, text, words, tensored), "signatures")
-    equal = materialize(signed.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "classes")
-    classes = signed.join(equal.withColumnRenamed("node", "id"), ["print", "id"]).select(F.col("id").alias("node"), "n", "left", "right", "sketch")
-    classes = materialize(classes.dropDuplicates(["node"]), "class-signatures")
+    equal = signed.filter("n > 0").groupBy("print").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    equal = materialize(equal, "classes")
+    named = equal.withColumnRenamed("print", "class")
+    classes = signed.join(named, (signed["print"] == named["class"]) & signed["id"].eqNullSafe(named["least"]))
+    classes = classes.select("node", "least", "hash", "print", "n", "left", "right", "sketch").dropDuplicates(["node"])
+    classes = materialize(classes, "class-signatures")
     families = components(ties(classes))
     links = verified_links(docs, key, text, classes, families, words, percent)
     joined = components(materialize(links, "links"))
-    named = equal.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "print").join(named, "print", "left")
-    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    heads = joined.join(equal.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("head"), F.min("node").alias("first"))
+    joined = joined.join(heads, "component").select("node", "head", "first")
+    found = equal.join(joined, "node", "left").select("print", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("head")).alias("head"), (F.coalesce("first", "node") == F.col("node")).alias("leads"))
+    out = signed.select("id", "hash", "n", "print").join(found, "print", "left")
+    out = out.select("id", "hash", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("component_id"), "leads")
+    kept = F.when(F.col("component_id").isNull(), F.coalesce("leads", F.lit(True))).otherwise(F.col("id").eqNullSafe(F.col("component_id")))
+    return out.select("id", "hash", "n", "component_id", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, collection: int | None = None, group: int = GROUP) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key of the component) and kept for every row of docs.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of shingles.
+    Null and blank texts have no shingles and are linked with nothing. Equal texts are linked
+    whatever their number. Rows that repeat a key and text are one document; those that repeat a key
+    with another text are linked by their own text each. Rows with a null key are linked alike; a
+    component of such rows only has a null component_id, and the rows of one of its texts are kept.
+    A pair at the threshold escapes the tables with a probability of about 2 * (1 - s ** group) ** collection, 2 in 100,000 with the
+    collection that groups_for() gives, which is used where none is set; nothing that is linked
+    falsely passes the verification. Keys must be whole numbers; other columns are ignored; an empty
+    table gives no rows.
+    """
+    out = judged(docs, key, text, words, percent, collection, group)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +214,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each group of near duplicates."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """Pipeline stage: the rows that near_duplicates() keeps, of each group those with the smallest doc_id."""
+    kept = judged(docs, "doc_id", "text", WORDS, PERCENT, None, GROUP).filter("kept").select("id", "hash")
+    own = docs["doc_id"].cast("long").eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["hash"])
+    return docs.join(kept, own, "left_semi").select("doc_id", *[c for c in docs.columns if c != "doc_id"])
 
 
 OP5_SQL = r"""

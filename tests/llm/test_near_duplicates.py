@@ -119,3 +119,16 @@ def test_tables_suffice_at_any_threshold(documents, monkeypatch):
     M.near_duplicates(documents(["a b"]))
     M.near_duplicates(documents(["a b"]), words=3, percent=85)
     assert made == [(16, 3), (12, 3)]
+
+
+def test_null_and_repeated_keys_lose_no_text(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"k{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, near(a)), (None, b), (3, near(b)), (5, c), (7, near(c)), (7, d), (9, near(d)), (None, None), (None, "one more text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in M.near_duplicates(docs).collect()}
+    assert {x for x in got if x[0] is not None} == {(3, 97, 3, True), (5, 96, 5, True), (7, 97, 5, False), (7, 96, 7, True), (9, 97, 7, False)}
+    out = [tuple(r) for r in M.keep_one(spark, docs, "").collect()]
+    assert len([r for r in out if r in rows[:2]]) == 1
+    assert sorted(map(str, (r for r in out if r not in rows[:2]))) == sorted(map(str, [(3, near(b)), (5, c), (7, d), (None, None), (None, "one more text")]))
