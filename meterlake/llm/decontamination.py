@@ -264,11 +264,11 @@ def align(patterns: np.ndarray, flat: np.ndarray, begins: np.ndarray, lengths: n
     return start, end, np.where((best <= most) & (end > start), best, -1)
 
 
-def blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of a bounded size, read one partition at a time; null texts are left out."""
+def blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items in blocks of a bounded size, read one partition at a time; null texts are left out, null keys are not."""
     block: list[tuple[int, str]] = []
     size = 0
-    for r in benchmark.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).toLocalIterator():
+    for r in benchmark.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1])
         if size >= chars:
@@ -278,6 +278,10 @@ def blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS)
         yield block
 
 
+def numbered(rows: list[tuple[int | None, str]]) -> list[tuple[int, str]]:
+    return [(i, t) for i, (_, t) in enumerate(rows)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, edits: int = EDITS) -> DataFrame:
     """key, item, start, end, edits: a row for every verified region of every document.
 
@@ -285,7 +289,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     a budget in proportion) within `edits` edits, both in normal form; overlapping matches of an item
     are one region with the edits of the closest. Whole texts are searched.
     Null and empty texts and items shorter than a q-gram give nothing; repeated rows give their
-    regions each; an empty benchmark gives none; other columns are ignored.
+    regions each; a null item id is reported as null; an empty benchmark gives none; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -293,12 +297,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = None
     for rows in blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(Index.build(rows, window, edits))
+        shared = spark.sparkContext.broadcast((Index.build(numbered(rows), window, edits), [r[0] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, ids = shared.value
             for batch in batches:
                 keys = batch.column(0)
-                got = list(shared.value.search(batch.column(1).to_pylist()))
+                got = [(k, ids[i], *x) for k, i, *x in index.search(batch.column(1).to_pylist())]
                 columns = list(zip(*got)) if got else [[]] * 5
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int32())))], ["key", "item", "start", "end", "edits"])
 
@@ -321,7 +326,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     small_batches(spark)
     at = docs.columns.index(text)
     for rows in blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(Index.build(rows, window, edits))
+        shared = spark.sparkContext.broadcast(Index.build(numbered(rows), window, edits))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

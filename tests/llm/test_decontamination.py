@@ -108,3 +108,16 @@ def test_runs_of_a_window_count_wherever_they_start():
     texts = ["1 2 3 4 5 6 7 8 9 " + item[a : a + n] + " 9 8 7 6 5 4 3 2 1" for a, n in runs]
     assert {f[0] for f in index.search(texts)} == set(range(len(texts)))
     assert not list(index.search([item[40:96], item[100:158]]))
+
+
+def test_a_huge_text_and_many_items():
+    items = [(i, f"item{i:06d}") for i in range(100_000)]  # windows x diagonals x characters exceed 2**63
+    found = list(D.Index.build(items, edits=1).search(["x" * 10_000_000 + " item099999"]))
+    assert found == [(0, 99_999, 10_000_001, 10_000_011, 0)]
+
+
+def test_items_without_an_id(spark, documents):
+    item = prose(random.Random(3), 16)
+    docs, benchmark = documents(["other words", "so " + item]), spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in D.leaks(docs, benchmark).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in D.without_leaks(docs, benchmark).collect()] == [0]
