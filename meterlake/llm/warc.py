@@ -115,8 +115,15 @@ def arc_head(version: int, name: str) -> bytes:
     return " ".join([*line, str(len(body))]).encode() + b"\n" + body
 
 
-def arc_record(version: int, name: str, key: int, url: str | None, payload: bytes) -> bytes:
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n%s: %d\r\nContent-Length: %d\r\n\r\n" % (KEY_HEADER, key, len(payload)) + payload
+def record_key(text: str | None) -> int | None:
+    """A key header's value, if it is a 64-bit number."""
+    key = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return key if key is not None and -(2**63) <= key < 2**63 else None
+
+
+def arc_record(version: int, name: str, key: int | None, url: str | None, payload: bytes) -> bytes:
+    named = b"" if key is None else b"%s: %d\r\n" % (KEY_HEADER, key)
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n%sContent-Length: %d\r\n\r\n" % (named, len(payload)) + payload
     line = [quote(url or "-", safe="!#$%&'()*+,/:;=?@[]~"), "0.0.0.0", LEGACY_DATE, "text/html"]
     if version == 2:
         line += ["200", "-", "-", "0", name]
@@ -126,7 +133,7 @@ def arc_record(version: int, name: str, key: int, url: str | None, payload: byte
 def write_arc(df: DataFrame, path: str, key: str, url: str, payload: str) -> None:
     """Rows as legacy archives, one for a partition; partitions take turns at the two versions.
 
-    Null payloads are written as empty ones, null urls as `-`.
+    Null payloads are written as empty ones, null urls as `-`, null keys not at all.
     """
     small_batches(df.sparkSession)
 
@@ -185,7 +192,7 @@ def parse_arc(data: bytes, with_payload: bool) -> Iterator[tuple]:
             continue
         head, payload = http_parts(block)
         key = http_field(head, KEY_HEADER)
-        yield (archive, at, version, fields[0], fields[1], fields[2], fields[3], int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None, head, zlib.compress(payload, 1) if with_payload else None, len(payload), sha1(payload), None)
+        yield (archive, at, version, fields[0], fields[1], fields[2], fields[3], record_key(key), head, zlib.compress(payload, 1) if with_payload else None, len(payload), sha1(payload), None)
 
 
 def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
@@ -280,7 +287,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     """
     small_batches(spark)
     seen = read_arc(spark, arc_path, with_payload=False).filter(F.col("problem").isNull() & (F.col("payload_bytes") >= least_bytes))
-    order = F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("order"), "archive", "offset", "key", "url", "date")
+    order = F.struct(F.col("key").isNull().alias("unnamed"), F.col("key").alias("order"), "archive", "offset", "key", "url", "date")
     first = seen.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     rows = read_arc(spark, arc_path).filter(F.col("problem").isNull())
     rows = rows.join(first, ["payload_digest", "payload_bytes"], "left")
@@ -333,7 +340,7 @@ def parse_warc(data: bytes, with_payload: bool) -> Iterator[tuple]:
         key = http_field(head, KEY_HEADER)
         length = int(fields["x-payload-length"]) if kind == "revisit" else len(payload)
         first = fields.get("x-refers-to-key")
-        yield (fields["warc-record-id"].strip("<>"), kind, fields.get("warc-date"), fields.get("warc-target-uri"), int(key) if key else None, length, digest, fields.get("warc-refers-to", "").strip("<>") or None, int(first) if first else None, payload if with_payload and kind != "revisit" else None)
+        yield (fields["warc-record-id"].strip("<>"), kind, fields.get("warc-date"), fields.get("warc-target-uri"), record_key(key), length, digest, fields.get("warc-refers-to", "").strip("<>") or None, int(first) if first else None, payload if with_payload and kind != "revisit" else None)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

@@ -87,3 +87,14 @@ def test_empty_table(spark, tmp_path):
     warc.write_arc(df.filter("false"), str(tmp_path / "arc"), "page_id", "url", "html")
     warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
     assert warc.read_warc(spark, str(tmp_path / "warc")).count() == 0
+
+
+def test_keys_of_64_bits_and_null_keys(spark, tmp_path):
+    big, least = 2**63 - 1, -(2**63)
+    assert [warc.record_key(x) for x in (str(big), str(least), str(big + 1), "x", "", None)] == [big, least, None, None, None, None]
+    rows = [(None, "http://a/0", "same"), (big, "http://a/1", "same"), (10**18, "http://a/2", "same"), (least, "http://b", "other"), (None, "http://c", "third")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(df, str(tmp_path / "arc"), "page_id", "url", "html")
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {(r["url"], r["key"], r["record_type"], r["refers_to_key"]) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert got == {("http://a/0", None, "revisit", 10**18), ("http://a/1", big, "revisit", 10**18), ("http://a/2", 10**18, "response", None), ("http://b", least, "response", None), ("http://c", None, "response", None)}
