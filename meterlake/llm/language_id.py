@@ -80,6 +80,37 @@ class Lattice:
             np.add.at(into, ids, alpha[start, rows] * use)
 
 
+def expected_long(text: str, v: Vocabulary, p: np.ndarray, count: float, into: np.ndarray) -> None:
+    """Lattice.expected() for one text of any length; sums are kept as logarithms, as they fall below any float."""
+    n, uncovered, root = len(text), len(v.pieces), v.trie
+    logs = np.log(p).tolist()
+
+    def edges(at: int) -> list[tuple[int, int]]:
+        node, end, out, covered = root, at, [], False
+        while end < n and (node := node.get(text[end])) is not None:
+            end += 1
+            if "" in node:
+                covered |= end == at + 1
+                out.append((end, node[""]))
+        return out if covered else [*out, (at + 1, uncovered)]
+
+    def total(terms: list[float]) -> float:
+        top = max(terms)
+        return top + math.log(sum(math.exp(x - top) for x in terms))
+
+    ahead: dict[int, list[float]] = {0: [0.0]}
+    alpha, beta = np.zeros(n + 1), np.zeros(n + 1)
+    for at in range(n + 1):
+        alpha[at] = here = total(ahead.pop(at))
+        for end, i in edges(at) if at < n else ():
+            ahead.setdefault(end, []).append(here + logs[i])
+    for at in range(n - 1, -1, -1):
+        ways = [(i, logs[i] + beta[end]) for end, i in edges(at)]
+        beta[at] = total([x for _, x in ways])
+        for i, x in ways:
+            into[i] += count * math.exp(alpha[at] + x - alpha[n])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
     """Rows of batches, some `most` at a time."""
     held: list[tuple] = []
@@ -180,8 +211,7 @@ def training_words(docs: DataFrame, text: str, lang: str, key: str, rows: int =
             seen: dict[tuple[str, str], int] = defaultdict(int)
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w in words_of(t):
-                    if len(w) < MEMORY_CHARS:
-                        seen[x, w] += 1
+                    seen[x, w] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
@@ -191,7 +221,8 @@ def training_words(docs: DataFrame, text: str, lang: str, key: str, rows: int =
 def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, (pieces + 1) x languages, the last row for uncovered characters.
 
-    Starts with all pieces alike and takes STEPS of EM. What the driver gathers is at most one
+    Starts with all pieces alike and takes STEPS of EM over runs of letters of any length; a language
+    whose sample has no letter is not learned. What the driver gathers is at most one
     number for each piece and language.
     """
     spark = docs.sparkSession
@@ -208,7 +239,10 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", lang: str =
             into = np.zeros((len(languages), size + 1))
             for rows in chunks(batches, TOGETHER):
                 for k, x in enumerate(languages):
-                    own = [(w, n) for y, w, n in rows if y == x]
+                    own = [(w, n) for y, w, n in rows if y == x and len(w) < MEMORY_CHARS]
+                    for y, w, n in rows:
+                        if y == x and len(w) >= MEMORY_CHARS:
+                            expected_long(SPACE + w, shared.value, now.value[:, k], n, into[k])
                     for group in by_length([w for w, _ in own]).values():
                         Lattice([SPACE + own[i][0] for i in group], shared.value).expected(now.value[:, k], np.array([own[i][1] for i in group], float), into[k])
             k, i = np.nonzero(into[:, :size])

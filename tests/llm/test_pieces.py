@@ -150,3 +150,18 @@ def test_odd_texts_and_no_training(spark, documents, odd_texts, public):
     untaught = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in L.identify(untaught, L.fit(untaught, public), public).collect()} == {"und"}
     assert L.identify(docs.filter("false"), model, public).count() == 0
+
+
+def test_long_runs_teach_as_short_ones_do(spark, public):
+    rng = np.random.default_rng(5)
+    p = rng.random(len(public.pieces) + 1) + 1e-3
+    p /= p.sum()
+    for word in ("abab", "strength日x", "running" * 3):
+        want, got = np.zeros(len(p)), np.zeros(len(p))
+        L.Lattice([SPACE + word], public).expected(p, np.array([3.0]), want)
+        L.expected_long(SPACE + word, public, p, 3, got)
+        assert np.allclose(want, got)
+    rows = [(i, x, {"aa": "thequickbrownfox" * 500, "bb": "einzweidreivierzug" * 500}[x]) for x in ("aa", "bb") for i in range(*((0, 40) if x == "aa" else (40, 80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.fit(docs, public)
+    assert model[0] == ["aa", "bb"] and {(r["lang"], r["lang_pred"]) for r in docs.join(L.identify(docs, model, public), "doc_id").collect()} == {("aa", "aa"), ("bb", "bb")}
