@@ -48,18 +48,20 @@ def directory(rows: DataFrame, depth: int, limit: int) -> DataFrame:
     return fine.select("fine").join(held, "fine", "left").select("fine", "leaf.depth", "leaf.shard", "leaf.shard_bytes", "leaf.shard_rows")
 
 
-def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_BYTES) -> DataFrame:
+def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
     """key, bytes, shard (its prefix bits), depth, shard_bytes and shard_rows of every row of df.
 
     Buckets start as one and split on the next bit of md5(key) while they hold over limit bytes.
     Rows of one key cannot be told apart by that hash, so a bucket that is oversized after its 60
     bits goes on splitting by a hash of the row's number in the written table, which is fixed once
     that is written. A single row over the limit is a shard of its own. Null keys hash as the empty
-    string; null sizes count as 0; an empty table gives no rows; other columns are ignored.
+    string; null sizes count as 0; an empty table gives no rows; other columns are ignored, but with
+    carry, row holds all columns of df as a struct.
     """
+    carried = ["row"] if carry else []
     rows = materialize(
-        df.select(F.col(key).alias("key"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("bytes"))
-        .select("key", "bytes", hash_bits(F.col("key")).alias("bits"), F.monotonically_increasing_id().alias("seq")),
+        df.select(F.col(key).alias("key"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("bytes"), *([F.struct(*(df[c] for c in df.columns)).alias("row")] if carry else []))
+        .select("key", "bytes", *carried, hash_bits(F.col("key")).alias("bits"), F.monotonically_increasing_id().alias("seq")),
         "shard-rows",
     )
     done: list[DataFrame] = []
@@ -72,20 +74,23 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int = SHARD_
         if n <= BROADCAST_ENTRIES:
             entries = F.broadcast(entries)
         found = rows.withColumn("fine", F.substring("bits", 1, depth + STEP)).join(entries, "fine")
-        done.append(found.filter(F.col("shard").isNotNull()).select("key", "bytes", "shard", "depth", "shard_bytes", "shard_rows"))
+        done.append(found.filter(F.col("shard").isNotNull()).select("key", "bytes", "shard", "depth", "shard_bytes", "shard_rows", *carried))
         depth += STEP
         if not n_open or depth >= 2 * WORD_BITS:
             break
-        rows = found.filter(F.col("shard").isNull()).select("key", "bytes", "bits", "seq")
+        rows = found.filter(F.col("shard").isNull()).select("key", "bytes", "bits", "seq", *carried)
         if depth % (2 * STEP) == 0:  # keep plans short when buckets are deep
             rows = materialize(rows, "shard-open")
     return reduce(DataFrame.unionByName, done)
 
 
-def write_shards(df: DataFrame, key: str, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write df as Parquet, one folder for each shard. Keys must be unique and not null."""
-    assigned = extendible_shards(df, key, F.octet_length(F.to_json(F.struct(*df.columns))), limit)
-    df.join(assigned.select(F.col("key").alias(key), F.concat(F.lit("b"), "shard").alias("shard")), key).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key: str, path: str, limit: int = SHARD_BYTES, size: Column | None = None) -> None:
+    """Write df as Parquet, one folder for each shard; size: bytes of a row, of its JSON if not given.
+
+    Rows are carried through the assignment, so null and repeated keys are written as often as they occur.
+    """
+    assigned = extendible_shards(df, key, F.octet_length(F.to_json(F.struct(*df.columns))) if size is None else size, limit, carry=True)
+    assigned.select("row.*", F.concat(F.lit("b"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

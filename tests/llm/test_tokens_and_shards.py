@@ -63,3 +63,11 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     sharding.write_shards(df, "doc_id", str(tmp_path / "out"), 4000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() > 2
+
+
+def test_written_shards_keep_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), *[(7, f"c{i}") for i in range(3)], *[(i, "d" * 90) for i in range(20, 60)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df, "doc_id", str(tmp_path / "out"), 500, F.octet_length("text"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(rows) and back.select("shard").distinct().count() > 2
