@@ -8,16 +8,17 @@ import pytest
 from meterlake.llm import decontamination as D
 
 
-def plain_distance(pattern, text):
-    """Fewest edits of pattern against any part of text."""
-    row = np.zeros(len(text) + 1, int)
-    for c in pattern:
+def plain_distances(patterns, text):
+    """Fewest edits of each of some patterns of one length against any part of text."""
+    patterns = np.array(patterns)
+    row = np.zeros((len(text) + 1, len(patterns)), int)
+    for c in patterns.T:
         new = np.empty_like(row)
         new[0] = row[0] + 1
         for j, t in enumerate(text, 1):
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != t))
+            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + 1, row[j - 1] + (c != t))
         row = new
-    return row.min()
+    return row.min(axis=0)
 
 
 def form(text):
@@ -64,7 +65,7 @@ def test_search_equals_brute_force():
         f = form(t)
         for item in range(9):
             windows = [x for x, o in zip(index.texts, index.items) if o == item]
-            near = any(plain_distance(w.tolist(), f) <= D.budget(len(w)) for w in windows)
+            near = bool(windows) and bool((plain_distances(windows, f) <= D.budget(len(windows[0]))).any())
             assert ((k, item) in got) == near, (k, item)
 
 
@@ -121,3 +122,54 @@ def test_items_without_an_id(spark, documents):
     docs, benchmark = documents(["other words", "so " + item]), spark.createDataFrame([(None, item)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in D.leaks(docs, benchmark).collect()] == [(1, None)]
     assert [r["doc_id"] for r in D.without_leaks(docs, benchmark).collect()] == [0]
+
+
+def test_repetitive_items_and_texts_in_bounded_slices(monkeypatch):
+    rng = random.Random(4)
+    items = [(0, "a" * 300), (1, "ab" * 90), (2, "abcab " * 30), (3, prose(rng, 30)), (4, "a" * 70 + prose(rng, 12) + "a" * 70), (5, "b" * 30)]
+    texts = ["a" * 500, "ab" * 100 + "a" * 90, prose(rng, 40), "abcab " * 60 + items[3][1], "b" * 90 + "c" + "b" * 29, items[4][1] + "x" + items[4][1][20:], "a" * 63, "c" * 90]
+    index = D.Index.build(items)
+    sliced = list(index.search(texts))
+    monkeypatch.setattr(D, "PAIRS", 50)
+    monkeypatch.setattr(D, "TOGETHER", 64)
+    assert list(index.search(texts)) == sliced
+    monkeypatch.setattr(D, "PAIRS", 1 << 40)
+    monkeypatch.setattr(D._Texts, "inside", lambda self, text, *_: np.zeros(len(text), bool))  # every window is aligned
+    assert list(index.search(texts)) == sliced
+    for k, t in enumerate(texts):
+        for i, _ in items:
+            windows = [w for w, o in zip(index.texts, index.items) if o == i]
+            near = bool((plain_distances(windows, form(t)) <= D.budget(len(windows[0]))).any())
+            assert any(f[:2] == (k, i) for f in sliced) == near, (k, i)
+
+
+def test_memory_of_a_long_run_is_bounded():
+    import tracemalloc
+
+    index = D.Index.build([(1, "a" * 300)])
+    tracemalloc.start()
+    assert list(index.search(["a" * 30_000])) == [(0, 1, 0, 30_000, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_long_texts_are_looked_up_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    item = prose(rng, 16)
+    texts = [prose(rng, 60) + " " + item + " " + prose(rng, k) for k in range(0, 90, 9)]
+    want = list(D.Index.build([(1, item)]).search(texts))
+    monkeypatch.setattr(D, "CHUNK", 37)
+    assert [(f[0], f[2:]) for f in D.Index.build([(1, item)]).search(texts)] == [(f[0], f[2:]) for f in want] and len(want) == len(texts)
+
+
+def test_a_sieve_lets_every_region_pass(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, prose(rng, 20)) for i in range(30)] + [(30, "short item here"), (31, "tiny")]
+    texts = [prose(rng, 40) + " " + edited(rng, t[a : a + n], e) + " " + prose(rng, 40) for _, t in items[:30] for a, n, e in ((0, 64, 0), (9, 66, 3), (3, 90, 3))]
+    texts += ["so " + prose(rng, 9) + " short item here " + prose(rng, 9)] + [prose(rng, 200) for _ in range(100)] + [None, "", "ab"]
+    sieve = D.Sieve.build(iter(items), sum(len(t) for _, t in items), D.WINDOW, D.EDITS)
+    leaky = {f[0] for f in D.Index.build(items).search(texts)}
+    for chunk in (1 << 20, 50):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        passed = {k for k, t in enumerate(texts) if sieve.passes(t)}
+        assert leaky <= passed and len(passed - leaky) < 5 and len(leaky) > 85
