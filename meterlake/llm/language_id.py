@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,16 @@ MEMORY_WORDS, MEMORY_CHARS = 300_000, 32
 #: Words whose lattices are built at once in an EM step.
 TOGETHER = 20_000
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of characters that make up words, and of those the letters by Unicode category, without other numerals.
+WORDLIKE, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case. The same splitting learns and predicts."""
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), lower case. The same splitting learns and predicts."""
+    out = WORDLIKE.findall(text.lower()) if text else []
+    if all(map(str.isalpha, out)):
+        return out
+    return [x for w in out for x in ((w,) if w.isalpha() else LETTERS.findall(w))]
 
 
 class Lattice:
@@ -131,7 +136,7 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 
 
 class Scorer:
-    """Log probabilities of words in all languages, for one process."""
+    """Log probabilities of words in all languages. Broadcast, so that a process has one and keeps its memory from task to task."""
 
     def __init__(self, vocabulary: Vocabulary, languages: list[str], p: np.ndarray):
         self.v, self.languages, self.p = vocabulary, languages, p
@@ -223,7 +228,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", lang: str =
 
     Starts with all pieces alike and takes STEPS of EM over runs of letters of any length; a language
     whose sample has no letter is not learned. What the driver gathers is at most one
-    number for each piece and language.
+    number for each piece and language, as Arrow columns: 16 bytes each.
+    Null texts and languages and rows with a null key teach nothing; repeated rows teach as often as they occur.
     """
     spark = docs.sparkSession
     counts = materialize(training_words(docs, text, lang, key, rows), "language-words")
@@ -248,10 +254,9 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", lang: str =
             k, i = np.nonzero(into[:, :size])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(into[k, i])], ["k", "i", "x"])
 
-        got = counts.select("lang", "word", "n").mapInArrow(expect, "k int, i int, x double").groupBy("k", "i").agg(F.sum("x").alias("x")).collect()
+        got = counts.select("lang", "word", "n").mapInArrow(expect, "k int, i int, x double").groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()
         used = np.zeros((len(languages), size))
-        for r in got:
-            used[r["k"], r["i"]] = r["x"]
+        used[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
         plain = np.array([bool(x) for x in vocabulary.pieces])
         used[:, plain] += SMOOTHING
         p = np.concatenate([(used / used.sum(axis=1, keepdims=True)).T, np.full((1, len(languages)), UNCOVERED)])
@@ -262,16 +267,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: V
     """key, lang_pred and score of every row, whole texts, in one pass without a shuffle.
 
     score is the posterior probability of lang_pred, all languages alike beforehand; ties go to the
-    first language by name. Null texts, texts without a letter and an untrained model give `und`
-    and 0. Repeated rows are treated alike; other columns are ignored.
+    first language by name. Null texts, texts without a letter (numerals such as Roman ones are none)
+    and an untrained model give `und` and 0. Texts and words may be of any length. Repeated rows are
+    treated alike, null keys as any; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((vocabulary, *model))
+    shared = spark.sparkContext.broadcast(Scorer(vocabulary, *model))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, languages, p = shared.value
-        scorer = Scorer(v, languages, p)
+        scorer = shared.value
+        languages = scorer.languages
         for batch in batches:
             langs, scores = [], []
             for total in scorer.texts(batch.column(1).to_pylist()) if languages else [None] * batch.num_rows:
@@ -292,4 +298,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = Vocabulary.load(PIECES)
     out = identify(docs, fit(docs, vocabulary), vocabulary)
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -165,3 +165,19 @@ def test_long_runs_teach_as_short_ones_do(spark, public):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = L.fit(docs, public)
     assert model[0] == ["aa", "bb"] and {(r["lang"], r["lang_pred"]) for r in docs.join(L.identify(docs, model, public), "doc_id").collect()} == {("aa", "aa"), ("bb", "bb")}
+
+
+def test_numerals_are_no_letters(spark, public):
+    assert L.words_of("½ ② ² Ⅷ 12") == [] and L.words_of("a½b Ⅷx É٣ª") == ["a", "b", "x", "é", "ª"] and L.words_of("日本 ǅ ʰ") == ["日本", "ǆ", "ʰ"]
+    docs = spark.createDataFrame([(None, "½ ② ² Ⅷ", "en"), (None, "some words", "en"), (1, "some words", "en"), (2, "other words", "en"), (3, "12 34", None)], "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["lang_pred"]) for r in L.identify(docs, L.fit(docs, public), public).collect()]
+    assert got == [(None, "und"), (None, "en"), (1, "en"), (2, "en"), (3, "und")]
+
+
+def test_languages_without_spaces(spark, public):
+    rng = random.Random(8)
+    letters = {"xa": "あいうえおかきくけこさしすせそ", "xb": "กขคงจฉชซญดตถทธน"}
+    rows = [(k, x, "".join(rng.choice(letters[x]) for _ in range(n))) for k, (x, n) in enumerate((x, n) for x in letters for n in [40, 45, 700, 5000] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    out = docs.join(L.identify(docs, L.fit(docs, public), public), "doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in out) and len(out) == 48
