@@ -132,3 +132,28 @@ def test_null_and_repeated_keys_lose_no_text(spark):
     out = [tuple(r) for r in M.keep_one(spark, docs, "").collect()]
     assert len([r for r in out if r in rows[:2]]) == 1
     assert sorted(map(str, (r for r in out if r not in rows[:2]))) == sorted(map(str, [(3, near(b)), (5, c), (7, d), (None, None), (None, "one more text")]))
+
+
+def test_shuffled_joins_say_what_broadcasts_say(spark, documents, monkeypatch):
+    """Bit maps and spread hot values instead of broadcasts, and large families, without AQE."""
+    from meterlake.llm import shared
+
+    rng = random.Random(13)
+    prose = lambda k: " ".join(f"v{rng.randrange(300)}" for _ in range(k))
+    texts = family(rng, prose(90), 30, 6) + [prose(40)] * 25 + [None, "", "a b"] + [prose(50) for _ in range(20)]
+    passage = prose(50)
+    texts += [prose(30) + " " + passage + " " + prose(30) for _ in range(12)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT", 4)
+    monkeypatch.setattr(M, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(M, "ROUNDS", 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in M.near_duplicates(documents(texts), words=3, percent=85).collect()}
+        docs = documents(texts).union(documents(texts))
+        stage = sorted(r["doc_id"] for r in M.keep_one(spark, docs, "").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [got[i] for i in range(len(texts))] == [(n, c, c == i) for i, (n, c) in enumerate(plain_components(texts, 3, 85))]
+    assert stage == sorted([i for i, (_, c) in enumerate(plain_components(texts, 5, 80)) if c == i] * 2)
