@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_language_id": language_id.op10_language_id,
+    "sharding_written": sharding.sharding_written,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_near_duplicates": near_duplicates.OP5_SQL,
     "op9_sharding": sharding.OP9_SQL,
+    "sharding_written": sharding.WRITTEN_SQL,
 }

@@ -71,3 +71,21 @@ def test_written_shards_keep_null_and_repeated_keys(spark, tmp_path):
     sharding.write_shards(df, "doc_id", str(tmp_path / "out"), 500, F.octet_length("text"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(rows) and back.select("shard").distinct().count() > 2
+
+
+def test_shards_of_a_table_with_clashing_names(spark, tmp_path, monkeypatch):
+    from meterlake.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)  # a directory beyond it, and a hot key
+    rows = [(k % 40 if k % 3 else 7, "s", "t", k, 1, "b") for k in range(300)] + [(None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "key long, shard string, row string, bytes long, depth int, bits string")
+    sharding.write_shards(df, "key", str(tmp_path / "out"), 300, F.lit(10))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select(df.columns).collect())) == Counter(rows)
+    assert max(r["count"] for r in back.groupBy("_shard").count().collect()) <= 30
+
+
+def test_rows_that_no_bit_tells_apart_are_not_dropped(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "hash_bits", lambda value: F.lit("0" * 60))
+    with pytest.raises(ValueError):
+        sharding.extendible_shards(spark.range(5).withColumn("size", F.lit(10)), "id", F.col("size"), 15)
