@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, spread_join, table
 
 #: verdict and host/path, the query's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 60
-#: Distrust, in units of a fully blocked host, above which a host is blocked if it also exceeds its trust.
+DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 30
+#: Distrust, the damped share of links that lead to blocked hosts, above which a host is blocked if it also exceeds its trust.
 THRESHOLD = 0.5
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -88,13 +88,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     return arrived.groupBy("host").agg(sums(0).alias("trust"), sums(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, by_source: bool = False) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, by_source: bool = True) -> DataFrame:
     """key, host, path, rule and verdict of every row.
 
     The longest fitting rule decides. Where none fits, a host is blocked if its distrust exceeds the
     threshold and its trust. With by_source, distrust is the damped share of a host's links that lead
-    to blocked hosts, whatever the number of hosts that link there; without, as in the query's SQL,
-    a blocked host's distrust is divided among them. A host's seeds are the shares of its pages that rules allow and block.
+    to blocked hosts, whatever the number of hosts that link there; without, a blocked host's distrust
+    is divided among them. A host's seeds are the shares of its pages that rules allow and block.
     A null url, or one without `://`, has an empty host and path and is allowed. Repeated rows are
     judged alike and count as often; other columns are ignored; an empty table gives no rows.
     """
@@ -102,17 +102,18 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     named = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = materialize(named.select(key, "host", "path", rule.alias("rule"), verdict.alias("ruled")), "ruled-pages")
     share = lambda word: F.avg(F.when(F.col("ruled") == word, 1.0).otherwise(0.0))
-    seeds = ruled.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(pages, url, html), iterations=iterations, by_source=by_source)
-    bad = materialize(scores.filter((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("spread")), "blocked-hosts")
-    return ruled.join(bad, "host", "left").select(key, "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
+    seeds = materialize(ruled.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"), F.count("*").alias("times")), "host-seeds")
+    scores = propagate(seeds.drop("times"), host_edges(pages, url, html), iterations=iterations, by_source=by_source)
+    bad = scores.filter((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("spread"))
+    bad = materialize(bad.join(seeds.select("host", "times"), "host"), "blocked-hosts")
+    return spread_join(ruled, bad, ["host"], "times", F.col(key)).select(key, "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-def _sql(steps: int = 30) -> str:
+def _sql(steps: int = ITERATIONS) -> str:
     cases = lambda give: "CASE " + " ".join(f"WHEN (host = '{t.split('/')[0]}' OR ends_with(host, '.{t.split('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}') THEN '{give(w, t)}'" for w, t in longest_first(RULES)) + " END"
     lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     walk = ",\n".join(f"r{i + 1} AS MATERIALIZED (SELECT w.kind, w.next AS host, {DAMPING} * sum(r.mass * w.share) AS mass FROM r{i} r JOIN ways w ON w.kind = r.kind AND w.host = r.host GROUP BY 1, 2)" for i in range(steps))
@@ -128,7 +129,7 @@ ends AS (SELECT source, {lower("regexp_extract(link, '//(?:[^/?#@]*@)?([^/?#:]*)
 edges AS MATERIALIZED (SELECT source, target, count(*) AS n FROM ends WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
 ways AS MATERIALIZED (
   SELECT 0 AS kind, source AS host, target AS next, n / sum(n) OVER (PARTITION BY source) AS share FROM edges
-  UNION ALL SELECT 1, target, source, n / sum(n) OVER (PARTITION BY target) FROM edges),
+  UNION ALL SELECT 1, target, source, n / sum(n) OVER (PARTITION BY source) FROM edges),
 r0 AS MATERIALIZED (SELECT 0 AS kind, host, trust AS mass FROM seeds WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM seeds WHERE distrust > 0),
 {walk},
 scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS trust, coalesce(sum(mass) FILTER (kind = 1), 0) AS distrust FROM ({union}) GROUP BY 1)

@@ -90,3 +90,37 @@ def test_distrust_by_source_does_not_shrink_with_the_number_of_linkers(spark, k)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdicts = {r["page_id"]: r["verdict"] for r in U.judge(pages, iterations=8, by_source=True).collect()}
     assert verdicts == {0: "block", 50: "allow", 51: "allow", **{i: "block" for i in range(1, k + 1)}}
+
+
+def linked_pages():
+    """A chain, a cycle, a hub and a ring of trust; verdicts of hosts without a rule come from their links."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/p">' for h in hosts)
+    rows = [("bad.net/es/1", link("bad2.net")), ("bad2.net/fr/1", ""), ("good.com/1", link("ring1.org"))]
+    rows += [("chain1.org/", link("bad.net", "chain1.org")), ("chain2.org/", link("chain1.org")), ("chain3.org/", link("chain2.org")), ("chain4.org/", link("chain3.org")), ("chain5.org/", link("chain4.org"))]
+    rows += [("cycle1.org/", link("cycle2.org", "bad.net", "bad2.net")), ("cycle2.org/", link("cycle1.org")), ("ring1.org/", link("ring2.org")), ("ring2.org/", link("ring1.org", "ring1.org", "bad.net"))]
+    rows += [("hub.org/", link("bad.net", *(f"spoke{i}.org" for i in range(9))))] + [(f"spoke{i}.org/", link("hub.org")) for i in range(9)] + [(f"farm{i}.org/", link("bad2.net")) for i in range(12)]
+    return [(i, f"http://{u}", h, "x", "y") for i, (u, h) in enumerate(rows)]
+
+
+def test_verdicts_by_links_alone_equal_sql_and_plain_python(spark):
+    import duckdb
+
+    rows = linked_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string")
+    got = {r["page_id"]: r["verdict"] for r in U.judge(pages).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in rows])
+    assert got == dict(c.sql(U.OP4_SQL).select("page_id, verdict").fetchall())
+    by_host = {rows[i][1].split("/")[2]: v for i, v in got.items()}
+    links = {(a, b): n for a, b, n in map(tuple, U.host_edges(pages).collect())}
+    out = {a: sum(n for (x, _), n in links.items() if x == a) for a, _ in links}
+    seed = {h: float(h in ("bad.net", "bad2.net")) for h in by_host}, {h: float(h == "good.com") for h in by_host}
+    distrust, trust = map(dict, seed)
+    for _ in range(U.ITERATIONS):
+        distrust = {h: seed[0][h] + U.DAMPING * sum(distrust[b] * n / out[a] for (a, b), n in links.items() if a == h) for h in by_host}
+        trust = {h: seed[1][h] + U.DAMPING * sum(trust[a] * n / out[a] for (a, b), n in links.items() if b == h) for h in by_host}
+    assert {h for h in by_host if h.endswith(".org") and distrust[h] > max(0.5, trust[h])} == {h for h, v in by_host.items() if v == "block" and h.endswith(".org")}
+    assert distrust["ring2.org"] > 0.5  # and more trust
+    assert all(by_host[f"chain{i}.org"] == "block" for i in range(1, 5)) and by_host["chain5.org"] == "block" and by_host["ring2.org"] == by_host["hub.org"] == "allow"
+    assert all(by_host[f"farm{i}.org"] == "block" for i in range(12)) and by_host["cycle1.org"] == by_host["cycle2.org"] == "block"
