@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, remove, small_batches, table
+from .shared import materialize, new_path, remove, small_batches, spread_join, table
 
 #: Fixed values of the two formats.
 ARC_FIELDS = {
@@ -133,7 +133,8 @@ def arc_record(version: int, name: str, key: int | None, url: str | None, payloa
 def write_arc(df: DataFrame, path: str, key: str, url: str, payload: str) -> None:
     """Rows as legacy archives, one for a partition; partitions take turns at the two versions.
 
-    Null payloads are written as empty ones, null urls as `-`, null keys not at all.
+    Null payloads are written as empty ones, null urls as `-`, null keys not at all. Keys may repeat;
+    an empty table gives no archive; columns but the three named are ignored, whatever they are called.
     """
     small_batches(df.sparkSession)
 
@@ -281,16 +282,17 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
 
     Of records with equal payloads of at least least_bytes bytes, that with the smallest key (then
     archive and offset) is a response, the others are revisits of it. Only digests are gathered
-    to decide that. Payloads move once, deflated, to meet the decision of their digest; a digest that
-    very many records share has one row on the other side, so its records can be split over tasks.
-    Records with a problem are left out; read_arc shows them.
+    to decide that. Few decisions go to the payloads; of many, payloads move once, deflated, to meet that of
+    their digest, and the records of a digest that very many share are dealt over all tasks.
+    Records with a problem are left out; read_arc shows them. Records without a key count as after all others,
+    records that repeat a key are told apart by archive and offset; no archives give no archives.
     """
     small_batches(spark)
     seen = read_arc(spark, arc_path, with_payload=False).filter(F.col("problem").isNull() & (F.col("payload_bytes") >= least_bytes))
     order = F.struct(F.col("key").isNull().alias("unnamed"), F.col("key").alias("order"), "archive", "offset", "key", "url", "date")
-    first = seen.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = seen.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1")
     rows = read_arc(spark, arc_path).filter(F.col("problem").isNull())
-    rows = rows.join(first, ["payload_digest", "payload_bytes"], "left")
+    rows = spread_join(rows, materialize(first, "payload-digests"), ["payload_digest", "payload_bytes"], "times", F.xxhash64("archive", "offset"))
     own = (F.col("first.archive") == F.col("archive")) & (F.col("first.offset") == F.col("offset"))
     again = F.col("first").isNotNull() & ~own
     when = lambda x: F.when(again, F.col(f"first.{x}"))
@@ -348,7 +350,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as legacy archives, converted, read back."""
+    """Pages as legacy archives, converted, read back: a row for each row of pages.
+
+    Null htmls are empty payloads, null urls `-`; rows that repeat a page_id and payload are a response
+    and its revisits; an empty table gives no rows; other columns are ignored.
+    """
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(table(spark, sf_dir, "pages"), arc, "page_id", "url", "html")
     convert(spark, arc, warc)

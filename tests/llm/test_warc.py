@@ -98,3 +98,17 @@ def test_keys_of_64_bits_and_null_keys(spark, tmp_path):
     warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
     got = {(r["url"], r["key"], r["record_type"], r["refers_to_key"]) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
     assert got == {("http://a/0", None, "revisit", 10**18), ("http://a/1", big, "revisit", 10**18), ("http://a/2", 10**18, "response", None), ("http://b", least, "response", None), ("http://c", None, "response", None)}
+
+
+def test_clashing_columns_and_repeated_rows(spark, tmp_path, monkeypatch):
+    from meterlake.llm import shared
+
+    rows = [(i % 7 if i % 5 else None, f"http://h/{i}", ("same", "other", None)[i % 3], 9, b"k", "a", i, "p", "v") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, key long, payload binary, archive string, offset long, problem string, value string")
+    got = []
+    for k, most in enumerate((100_000, 0)):  # decisions broadcast, or joined with hot digests spread
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        warc.write_arc(df, str(tmp_path / f"arc{k}"), "page_id", "url", "html")
+        warc.convert(spark, str(tmp_path / f"arc{k}"), str(tmp_path / f"warc{k}"))
+        got.append(sorted(map(str, warc.read_warc(spark, str(tmp_path / f"warc{k}")).select("url", "key", "record_type", "refers_to_key", "payload_digest").collect())))
+    assert got[0] == got[1] and len(got[0]) == 40 and sum("response" in x for x in got[0]) == 3
