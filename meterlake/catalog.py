@@ -21,6 +21,8 @@ from .operators import retention as R
 from .operators import series as S
 from .plans import adapter as D
 from .plans import dashboard
+from .plans.keep import new_path
+from .plans.management import UsageLog
 from .schema import DEDUP_KEY, EVENT_COLUMNS, TOKENS
 from .sources import records, storage
 
@@ -190,35 +192,35 @@ def _cases(name: str, f: Callable[[Column], Column], pairs: list[tuple[str, obje
     ORACLE_SQL[name] = "SELECT event_id, CASE event_id % " + str(n) + "".join(f" WHEN {i} THEN {quote(b)}" for i, (_, b) in enumerate(pairs)) + " END AS result FROM events"
 
 
-_HEX, _LONG = "5312415661d8a481", "a" * 45
-_cases("f_mask", T.mask_key, [("sk-test-client-key-zy", "sk******zy"), ("", ""), (" ab ", "a******"), ("abcd", "a******"), ("abcde", "ab******de")])
+_HEX, _LONG = "0fe1d2c3b4a59687", "a" * 45
+_cases("f_mask", T.mask_key, [("sk-shop-07-front-qx", "sk******qx"), ("", ""), (" ab ", "a******"), ("abcd", "a******"), ("abcde", "ab******de")])
 _cases("f_tmask", T.mask_token, [("abcd", "******"), ("abcde", "ab******de"), ("sk-1234567", "sk******67")])
 _cases("f_secret", T.looks_secret, [("sk-x", True), ("AIzaQ", True), ("hf_", True), ("pk_1", True), ("rk_1", True), ("plain", False), (_LONG, True), ("a-" + _LONG, False), ("a-" * 41, True), ("", False)])
 _cases("f_credid", T.looks_credential_id, [("deadbeef", True), ("deadbee", False), ("nothexadecimal", False), ("g" * 32, True), ("g.h" * 12, False)])
 _cases("f_sectok", T.looks_secret_token, [("sk-1234", False), ("sk-12345", True), ("x" * 31, False), ("x" * 32, True)])
 _cases("f_mark", T.is_marker, [("api-key", True), ("API_KEY", True), (" Credential ", True), ("auth", True), ("keys", False)])
 _cases("f_split", lambda x: F.array_join(T.name_parts(x), "+"), [("a · b - c", "a+b - c"), ("a - b", "a+b"), ("a | b/c", "a+b/c"), ("a/b", "a+b"), ("a", "a")])
-_cases("f_strip", T.strip_credential, [(f"openai-compatible-opencode · apikey · {_HEX}", "openai-compatible-opencode"), ("openai-compatibility:opencode:a4e4860e4fc0", "openai-compatibility:opencode"), ("opencode - sk-abc123", "opencode"), ("opencode | sk-abc123", "opencode"), ("opencode - apikey - somehash", "opencode"), ("apikey/x", "apikey/x"), ("a/b", "a/b"), (" plain ", "plain"), ("", ""), (f"a | b | {_HEX}", "a · b")])
+_cases("f_strip", T.strip_credential, [(f"openai-compatible-harbour · apikey · {_HEX}", "openai-compatible-harbour"), ("openai-compatibility:harbour:77aa88bb99cc", "openai-compatibility:harbour"), ("harbour - sk-77q2", "harbour"), ("harbour | sk-77q2", "harbour"), ("harbour - apikey - tail7", "harbour"), ("apikey/x", "apikey/x"), ("a/b", "a/b"), (" plain ", "plain"), ("", ""), (f"a | b | {_HEX}", "a · b")])
 _cases("f_cident", T.credential_identity, [(f"x · apikey · {_HEX}", _HEX), ("x - key - a - b", "a · b"), ("x:auth:y:z", "y:z"), ("a:b:deadbeef01", "deadbeef01"), (f"a/{_HEX}", _HEX), ("plain", ""), ("", "")])
 _cases("f_safeid", T.safe_identity, [("x · key · sk-abcdefgh", "sk******gh"), ("auth-01", "auth-01"), ("", ""), ("x:key:me", "me")])
 _cases("f_src", lambda x: T.source_label(x, F.lit("codex"), F.lit("")), [("team - sk-abc123", "team"), ("sk-abc123", "codex"), ("", "codex"), ("shop", "shop")])
 _cases("f_chan", lambda x: T.channel_label(F.lit(""), x, F.lit("id-9")), [("x · key · me", "上游 me"), ("plain", "上游 id-9")])
-_cases("f_api", lambda x: T.group_key(F.lit("codex"), F.lit(""), x, F.lit(""), F.lit("channel-a"), F.lit("")), [("codex", "codex · 上游 channel-a"), ("sk-secret", "codex · 上游 channel-a"), ("shop", "codex · shop"), ("", "codex · 上游 channel-a")])
-_cases("f_api_base", lambda x: T.group_key(x, F.lit("run"), F.lit("public"), F.lit("https://api.example.com/v1"), F.lit(""), F.lit("")), [("codex", "codex · https://api.example.com/v1"), ("openai-compatible-a", "openai-compatible-a · public"), ("", "run · https://api.example.com/v1")])
+_cases("f_api", lambda x: T.group_key(F.lit("codex"), F.lit(""), x, F.lit(""), F.lit("lane-4"), F.lit("")), [("codex", "codex · 上游 lane-4"), ("sk-77q2zz", "codex · 上游 lane-4"), ("shop", "codex · shop"), ("", "codex · 上游 lane-4")])
+_cases("f_api_base", lambda x: T.group_key(x, F.lit("run"), F.lit("public"), F.lit("https://gate.example.org/v2"), F.lit(""), F.lit("")), [("codex", "codex · https://gate.example.org/v2"), ("openai-compatible-a", "openai-compatible-a · public"), ("", "run · https://gate.example.org/v2")])
 _cases("f_rekey", lambda x: T.rekey(F.lit("old"), x, F.lit("shop"), F.lit(""), F.lit(""), F.lit("")), [("codex", "codex · shop"), ("", "old · shop")])
 _cases("f_oai", T.is_openai_compatible, [("OpenAI-Compatible-x", True), (" openai-compatibility:a", True), ("openai", False)])
 _cases("f_join", lambda x: T.join_names(x, F.lit(" b "), x, F.lit("")), [("a", "a · b"), ("b", "b"), ("", "b")])
 _cases("f_model", T.model_name, [(" gpt ", "gpt"), ("", "unknown"), (" ", "unknown")])
 _cases("f_think", lambda x: T.thinking(x)["level"], [(" high ", "high"), ("", "")])
 _cases("f_trim", lambda x: F.octet_length(T.cut_long(x)), [("a" * 500, 500), ("a" * 501, 503), ("é" * 251, 503), (" x ", 1), ("a" + "é" * 251, 502)])
-_cases("f_redact", T.redact, [("Authorization: Bearer sk-abc123def456", "Authorization: Bearer sk******56"), ("task-force", "task******ce"), ("AIzaX!", "AI******aX!"), ("use sk- here", "use ****** here"), ("a?token=" + "x" * 32 + "&b", "a?token=******&b"), ("Bearer " + "t" * 32 + "; x", "Bearer tt******tt; x"), ("x-api-key:" + "q" * 40, "x-api-key:qq******qq"), ("nothing here", "nothing here")])
+_cases("f_redact", T.redact, [("Authorization: Bearer sk-q7w8e9r0t1y2", "Authorization: Bearer sk******y2"), ("task-force", "task******ce"), ("AIzaX!", "AI******aX!"), ("use sk- here", "use ****** here"), ("a?token=" + "x" * 32 + "&b", "a?token=******&b"), ("Bearer " + "t" * 32 + "; x", "Bearer tt******tt; x"), ("x-api-key:" + "q" * 40, "x-api-key:qq******qq"), ("nothing here", "nothing here")])
 _cases("f_ckey", lambda x: T.client_group(x, F.lit("h1")), [("sk******zy", "api_key:sk******zy"), ("", "api_key_hash:h1")])
 _cases("f_clbl", T.client_label, [("sk******zy", "sk******zy"), (" ", T.UNKNOWN_CLIENT)])
 _cases("f_tail", T.path_tail, [("/a/b/usage", "usage"), ("usage", "usage"), ("/a/b/", "b")])
 _cases("w_hdr", lambda x: F.array_join(F.array_sort(F.map_keys(T.keep_headers(F.create_map(x, F.array(F.lit("v")), F.lit("X-Trace"), F.array(F.lit("t"))), "x-*, content-type"))), ","), [("X-Api-Key", "X-Trace"), ("Content-Type", "Content-Type,X-Trace"), ("X-Rate", "X-Rate,X-Trace"), ("Cookie", "X-Trace")])
 _cases("s_ts", lambda x: F.coalesce(F.unix_micros(N.rfc3339(x)), F.lit(0)), [("2024-01-01T00:00:01Z", 1704067201000000), ("2024-01-01T02:00:00.5+02:00", 1704067200500000), ("no time", 0)])
 _cases("f_dayhour", lambda x: F.concat_ws(" ", N.day_key(N.rfc3339(x), N.utc_offset(x)), N.hour_key(N.rfc3339(x), N.utc_offset(x))), [("2024-01-01T00:30:00+08:00", "2024-01-01 00"), ("2024-01-01T23:30:00-05:30", "2024-01-01 23"), ("2024-01-01T12:00:00Z", "2024-01-01 12")])
-_cases("g_fmt", lambda x: F.concat_ws(" ", N.compact(x), N.millis_text(x)), [("1234", "1.2k 1.2s"), ("3400000", "3.4M 3400.0s"), ("12", "12 12ms"), ("x", "0 0ms")])
+_cases("g_fmt", lambda x: F.concat_ws(" ", N.compact(x), N.millis_text(x), N.percent_text(x)), [("1234", "1.2k 1.23秒 1234.0%"), ("3400000", "3.4M 3400.00秒 3400000.0%"), ("12.5", "13 13毫秒 12.5%"), ("1000", "1k 1.00秒 1000.0%"), ("-2", "-2 - -2.0%"), ("x", "0 - -")])
 QUERIES["f_hash"] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", T.hash_key(F.concat(F.lit(" key-"), F.col("user_id").cast("string")), D.SALT).alias("result"))
 
 _add("f_tok1", _over(lambda e: e.select("ingest_seq", "total_tokens")), "SELECT ingest_seq, total_tokens FROM ev")
@@ -261,11 +263,7 @@ ORACLE_SQL["s_dec"] = _INGESTED
 
 
 def _written(e: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
-    import tempfile
-    import uuid
-
-    base = e.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base}/meterlake-{uuid.uuid4().hex}"
+    path = new_path(e.sparkSession, "written")
     write(e, path)
     return path
 
@@ -292,25 +290,46 @@ _add("k_csv", _over(lambda e: e.sparkSession.read.option("header", True).option(
 _add("k_json", _over(lambda e: e.sparkSession.read.text(_written(e, storage.write_json)).select(F.get_json_object("value", "$.model").alias("model"), F.get_json_object("value", "$.tokens.total_tokens").cast("long").alias("total"))), "SELECT model, total_tokens AS total FROM ev")
 
 
-def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """Records pushed twice through the streaming path."""
+def _streamed(spark: SparkSession, d: str, settings: Settings) -> str:
+    """Records pushed through the streaming path in several micro-batches, some again later, with one from the future and one long past."""
+    from .streaming import ingest
+
+    odd = [(-3, '{"provider": "p9", "model": "m9", "requested_at": "2099-01-01T00:00:00Z"}'), (-4, '{"provider": "p9", "model": "m9", "requested_at": "1901-01-01T00:00:00Z"}')]
+    pushed = _pushed(spark, d)
+    rows = pushed.filter("event_id % 2 = 0").unionByName(spark.createDataFrame(odd, "event_id long, value string"))
+    source = _written(rows, lambda x, p: x.select("value").repartition(2).write.text(p))
+    pushed.filter("event_id % 2 = 1 OR event_id % 10 = 0").select("value").repartition(2).write.mode("append").text(source)
+    stream = ingest.event_stream(ingest.record_stream(spark, source, 1), settings)
+    ingest.store(stream, f"{source}-table", f"{source}-checkpoint", settings, once=True).awaitTermination()
+    return f"{source}-table"
+
+
+def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import ingest
+
+    return ingest.stored(spark, _streamed(spark, d, Settings(retention_days=0)))
+
+
+def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     from .streaming import ingest
 
-    source = _written(_pushed(spark, d), lambda x, p: x.unionByName(x.filter("event_id % 10 = 0")).select("value").repartition(2).write.text(p))
-    rows = ingest.event_stream(ingest.record_stream(spark, source, 1000), Settings(dedup_window_minutes=100_000), expire=False)
-    ingest.store(rows, f"{source}-table", f"{source}-checkpoint", once=True).awaitTermination()
-    return ingest.stored(spark, f"{source}-table")
+    table = _streamed(spark, d, Settings(retention_days=36_500))
+    order = ingest.stored(spark, table).agg((F.count_distinct("ingest_seq") == F.count("*")).alias("numbered"))
+    return ingest.ingested(spark, table).crossJoin(order)  # two single rows
 
 
-QUERIES["s_rec_stream"] = lambda spark, d: _plain_time(_streamed(spark, d).select("api", "model", "ts", "total_tokens", "failed"))
-ORACLE_SQL["s_rec_stream"] = f"SELECT api, model, ts, total_tokens, failed FROM ({_INGESTED})"
+QUERIES["s_rec_stream"] = lambda spark, d: _plain_time(_stream_rows(spark, d).select("api", "model", "ts", "total_tokens", "failed"))
+ORACLE_SQL["s_rec_stream"] = f"SELECT api, model, ts, total_tokens, failed FROM ({_INGESTED}) UNION ALL VALUES ('p9', 'm9', TIMESTAMP '2099-01-01', 0, FALSE), ('p9', 'm9', TIMESTAMP '1901-01-01', 0, FALSE)"
+QUERIES["t_late"] = _stream_counts
+ORACLE_SQL["t_late"] = "SELECT (count(*) + 2)::BIGINT AS rows, 1::BIGINT AS expired, TRUE AS numbered FROM events"
+
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     """Running counts by api and model of the records, kept by a streaming aggregation over several files."""
     from .streaming import ingest
 
     source = _written(_pushed(spark, d), lambda x, p: x.select("value").repartition(3).write.text(p))
-    counts = ingest.running_counts(ingest.event_stream(ingest.record_stream(spark, source, 1), Settings(dedup_window_minutes=0), expire=False))
+    counts = ingest.running_counts(ingest.event_stream(ingest.record_stream(spark, source, 1), Settings(dedup_window_minutes=0)))
     out = f"{source}-counts"
     ingest.keep_latest(counts, out, f"{source}-checkpoint").awaitTermination()
     return spark.read.parquet(out)
@@ -332,3 +351,137 @@ _add("p_imp", _timed(lambda e, now: _plain_time(R.normalize_import(e.withColumns
      "SELECT ingest_seq, ts, provider || ' · shop' AS api, model, greatest(latency_ms - 300, 0) AS latency_ms, input_tokens + output_tokens + reasoning_tokens AS total_tokens FROM ev")
 _add("dashboard_models", _priced(lambda e, p: dashboard.model_costs(e, p)),
      f"SELECT b.*, round({_RATE.replace('count(*) FILTER (NOT failed)', 'success_count').replace('count(*)', 'total_requests')}, 6) AS success_rate, CASE WHEN success_count / total_requests::DOUBLE * 100 >= 95 THEN 'ok' WHEN success_count / total_requests::DOUBLE * 100 >= 80 THEN 'neutral' ELSE 'bad' END AS rate_class, round({D.COST}, 6) AS cost FROM (SELECT model, {D.M8}, {D.LAT} FROM ev GROUP BY model) b LEFT JOIN prices USING (model)", D.PRICE_ROWS)
+
+
+# -- the log as a whole ------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, d: str, **settings) -> tuple[UsageLog, Column]:
+    """The pushed records as a log, in two pushes that share a tenth of them."""
+    now, log = D.clock(spark, d), UsageLog(spark)
+    log.patch(now, price_storage_path=new_path(spark, "prices") + ".json", **settings)
+    pushed = _pushed(spark, d)
+    log.record(pushed.filter("event_id % 2 = 0 OR event_id % 5 = 0"), now)
+    log.record(pushed.filter("event_id % 2 = 1"), now)
+    return log, now
+
+
+_WHOLE = {"retention_days": 0, "max_details_per_model": 1_000_000}
+
+
+def _restarted(spark: SparkSession, d: str) -> DataFrame:
+    """What a new log reads from the lines that another one has appended."""
+    path = new_path(spark, "lines")
+    _, now = _log(spark, d, storage_enabled=True, storage_path=path, **_WHOLE)
+    log = UsageLog(spark)
+    log.patch(now, storage_enabled=True, storage_path=path, price_storage_path=path + "-prices.json", **_WHOLE)
+    return A.by_api_model(log.rows)
+
+
+QUERIES["storage_replay"] = _restarted
+ORACLE_SQL["storage_replay"] = "SELECT api, model, count(*) AS total_requests, count(*) FILTER (NOT failed) AS success_count, count(*) FILTER (failed) AS failure_count, sum(total_tokens)::BIGINT AS total_tokens, sum(k)::BIGINT AS input_tokens, sum(2 * k)::BIGINT AS output_tokens, sum(cache_tokens)::BIGINT AS cached_tokens, 0::BIGINT AS reasoning_tokens, round(coalesce(avg(latency_ms) FILTER (latency_ms > 0), 0), 6) AS avg_latency_ms FROM (" + _INGESTED.replace("SELECT event_id AS ingest_seq,", "SELECT k, event_id AS ingest_seq,", 1) + ") GROUP BY api, model"
+
+
+def _kept_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Prices that one log has saved, as the next one reads them."""
+    path, now = new_path(spark, "prices") + ".json", D.clock(spark, d)
+    first, second = UsageLog(spark), UsageLog(spark)
+    first.patch(now, price_storage_path=path)
+    for model, p in {**D.PRICED, "gone": (1, 2, 3)}.items():
+        first.put_price(model, *p)
+    first.delete_price("gone")
+    second.patch(now, price_storage_path=path)
+    return second.prices
+
+
+_add("k_price", _kept_prices, "SELECT * FROM prices", D.PRICE_ROWS)
+
+
+def _dumped(spark: SparkSession, d: str) -> DataFrame:
+    """The full dump, parsed again: a row for each of its details."""
+    log, _ = _log(spark, d, **_WHOLE)
+    path = _written(log.dashboard_data("2024-02-01T00:00:00Z"), lambda x, p: x.write.text(p))
+    schema = "failed_requests long, generated_at string, usage struct<total_requests:long,requests_by_day:map<string,long>,apis:map<string,struct<total_requests:long,models:map<string,struct<total_tokens:long,details:array<struct<timestamp:string,failed:boolean>>>>>>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    apis = doc.select("failed_requests", "generated_at", F.col("usage.total_requests").alias("total"), F.size("usage.requests_by_day").alias("days"), F.explode("usage.apis").alias("api", "a"))
+    models = apis.select("failed_requests", "generated_at", "total", "days", "api", F.col("a.total_requests").alias("api_requests"), F.explode("a.models").alias("model", "m"))
+    return models.select("failed_requests", "generated_at", "total", "days", "api", "api_requests", "model", F.col("m.total_tokens").alias("total_tokens"), F.size("m.details").alias("details"))
+
+
+QUERIES["dashboard_data"] = _dumped
+ORACLE_SQL["dashboard_data"] = f"WITH r AS ({_INGESTED}) SELECT (SELECT count(*) FROM r WHERE failed) AS failed_requests, '2024-02-01T00:00:00Z' AS generated_at, (SELECT count(*) FROM r) AS total, (SELECT count(DISTINCT ts::DATE) FROM r)::INT AS days, api, sum(count(*)) OVER (PARTITION BY api)::BIGINT AS api_requests, model, sum(total_tokens)::BIGINT AS total_tokens, count(*)::INT AS details FROM r GROUP BY api, model"
+
+
+def _last(spark: SparkSession, d: str) -> DataFrame:
+    """The last time that was recorded, after retention has removed its row."""
+    log, now = _log(spark, d, **_WHOLE)
+    log.patch(now + F.expr("INTERVAL 400 DAYS"), retention_days=30)
+    health = log.health()
+    return spark.createDataFrame([(health["runtime"]["last_recorded_at"], health["total_requests"], health["evicted_total"])], "last_recorded_at string, total_requests long, evicted_total long")
+
+
+_add("last_recorded", _last, "SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_recorded_at, 0::BIGINT AS total_requests, count(*) AS evicted_total FROM ev")
+
+
+def _from_document(spark: SparkSession, d: str) -> DataFrame:
+    e = D.usage(spark, d).withColumn("source", F.lit("shop"))
+    path = _written(e, lambda x, p: storage.write_snapshot(x, Settings(), "2024-02-01T00:00:00Z", p))
+    return dashboard.summary_of_document(spark, path, P.make(spark, D.PRICED), D.clock(spark, d))["api_models"]
+
+
+_add("a_full", _from_document, f"SELECT provider || ' · shop' AS api, model, {D.M8}, {D.LAT} FROM ev GROUP BY 1, 2")
+_SETS = {"total": "total", "apis": "api", "api_models": "api, model", "sources": "source", "credentials": "auth_index", "days": "day", "hours": "hour"}
+
+
+def _page_one(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and tokens of the first page's result sets, one below the other."""
+    sets = dashboard.summary(D.usage(spark, d), P.make(spark, D.PRICED), D.clock(spark, d))
+    rows = None
+    for name, keys in _SETS.items():
+        own = [F.lit("all")] if name == "total" else [F.col(k) for k in keys.split(", ")]
+        names = ("requests", "tokens") if name in ("days", "hours") else ("total_requests", "total_tokens")
+        part = sets[name].select(F.lit(name).alias("part"), F.concat_ws("/", *own).alias("key"), *(F.col(n).alias(x) for n, x in zip(names, ("requests", "tokens"))))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+_add("dashboard_summary", _page_one, " UNION ALL ".join(f"SELECT '{n}' AS part, {k} AS key, count(*) AS requests, sum(total_tokens)::BIGINT AS tokens FROM ev GROUP BY 1, 2" for n, k in {
+    "total": "'all'", "apis": "api", "api_models": "api || '/' || model", "sources": f"CASE WHEN source = '' THEN '{T.UNKNOWN_SOURCE}' ELSE source END", "credentials": f"CASE WHEN auth_index = '' THEN '{T.BLANK_CREDENTIAL}' ELSE auth_index END",
+    "days": "strftime(ts, '%Y-%m-%d')", "hours": "strftime(ts, '%H')"}.items()))
+_add("t_page_past", _timed(lambda e, now: E.page(e, E.Query(offset=10_000_000), now)[0].select("ingest_seq")), "SELECT ingest_seq FROM ev ORDER BY ts DESC LIMIT 50 OFFSET 10000000")
+_add("t_detail", _over(lambda e: storage.snapshot_apis(e).select("api", F.explode("models").alias("model", "m")).select("api", "model", F.transform("m.details", lambda x: x["timestamp"]).alias("t")).select("api", "model", (F.array_sort("t") == F.col("t")).alias("in_order"), F.size("t").alias("n"))), "SELECT api, model, TRUE AS in_order, count(*)::INT AS n FROM ev GROUP BY api, model")
+_add("g_health", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", N.health_color((F.col("event_id") % 101 - 1) / 99).alias("color"), N.health_cell(F.col("event_id") % 672, 672)["column"].alias("col"), N.health_cell(F.col("event_id") % 672, 672)["row"].alias("row")),
+     """SELECT event_id, CASE WHEN r < 0 THEN '' ELSE 'rgb(' || floor(a + (b - a) * t + 0.5)::INT || ',' || floor(c + (e - c) * t + 0.5)::INT || ',' || floor(f + (g - f) * t + 0.5)::INT || ')' END AS color,
+       96 - (671 - event_id % 672) // 7 AS col, 7 - (671 - event_id % 672) % 7 AS row
+FROM (SELECT event_id, r, CASE WHEN r < 0.5 THEN r * 2 ELSE (r - 0.5) * 2 END AS t, CASE WHEN r < 0.5 THEN 239 ELSE 250 END AS a, CASE WHEN r < 0.5 THEN 250 ELSE 34 END AS b,
+  CASE WHEN r < 0.5 THEN 68 ELSE 204 END AS c, CASE WHEN r < 0.5 THEN 204 ELSE 197 END AS e, CASE WHEN r < 0.5 THEN 68 ELSE 21 END AS f, CASE WHEN r < 0.5 THEN 21 ELSE 94 END AS g
+  FROM (SELECT event_id, (event_id % 101 - 1) / 99.0::DOUBLE AS r FROM events))""")
+_cases("g_label", lambda x: F.concat_ws(" / ", T.friendly_api(x), T.source_key(x, F.lit("codex"))), [("harbour · lane 3", "harbour · lane 3 / harbour · lane 3"), (f"harbour · key · {_HEX}", "harbour / harbour"), ("", f"{T.UNKNOWN_API} / codex"), ("sk-77q2zz · harbour", "harbour / codex"), ("codex · 凭证 x9", "codex / codex · 凭证 x9")])
+_cases("g_esc", T.escaped, [("<a b='c'>", "&lt;a b=&#39;c&#39;&gt;"), ('x & "y"', "x &amp; &quot;y&quot;"), ("plain", "plain")])
+
+# rules of secrets and names over texts made of the table, with the rule itself in SQL
+_MADE = "['sk-', 'AIza', 'hf_', 'shop', 'a b ', ' x.', ''][(event_id % 7 + 1)::INT] || left(md5(event_id::VARCHAR) || md5(user_id::VARCHAR) || md5(event_id::VARCHAR), (event_id % 97)::INT)"
+
+
+def _made() -> Column:
+    first = F.element_at(F.array(*(F.lit(x) for x in ("sk-", "AIza", "hf_", "shop", "a b ", " x.", ""))), (F.col("event_id") % 7 + 1).cast("int"))
+    id_, user = F.md5(F.col("event_id").cast("string")), F.md5(F.col("user_id").cast("string"))
+    return F.concat(first, F.left(F.concat(id_, user, id_), (F.col("event_id") % 97).cast("int")))
+
+
+def _over_made(name: str, columns: dict[str, Column], sql: dict[str, str]) -> None:
+    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", _made().alias("x")).select("event_id", *(c.alias(n) for n, c in columns.items()))
+    ORACLE_SQL[name] = "SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in sql.items()) + f" FROM (SELECT event_id, user_id, trim(x) AS s, x FROM (SELECT *, {_MADE} AS x FROM events))"
+
+
+_SECRET = "(regexp_matches({0}, '^(sk-|AIza|hf_|pk_|rk_)') OR (strlen({0}) >= 40 AND NOT regexp_matches({0}, '[ /._-]')) OR (strlen({0}) >= 80 AND NOT contains({0}, ' ')))"
+_ID = "(regexp_matches({0}, '^[0-9a-fA-F]{{8,}}$') OR (strlen({0}) >= 32 AND NOT regexp_matches({0}, '[ /._-]')))"
+_over_made("f_secret_made", {"secret": T.looks_secret(F.col("x")), "id": T.looks_credential_id(F.col("x")), "token": T.looks_secret_token(F.col("x")), "mask": T.mask_key(F.col("x"))}, {
+    "secret": _SECRET.format("s"), "id": _ID.format("s"), "token": "(strlen(s) >= 8 AND (regexp_matches(s, '^(sk-|AIza|hf_|pk_|rk_)') OR (strlen(s) >= 32 AND NOT contains(s, ' '))))",
+    "mask": "CASE WHEN s = '' THEN '' WHEN strlen(s) <= 4 THEN left(s, 1) || '******' ELSE left(s, 2) || '******' || right(s, 2) END"})
+_NAMED = lambda x: F.concat(F.lit("team "), (F.col("user_id") % 9).cast("string"), F.lit(" · "), F.trim(x))
+_over_made("f_strip_made", {"stripped": T.strip_credential(_NAMED(F.col("x"))), "source": T.source_label(F.col("x"), F.lit("codex"), F.lit("")), "api": T.group_key(F.lit("codex"), F.lit(""), F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")), F.lit(""), F.trim(F.col("x")), F.lit(""))}, {
+    "stripped": f"CASE WHEN {_ID.format('s')} OR {_SECRET.format('s')} THEN 'team ' || user_id % 9 ELSE trim('team ' || user_id % 9 || ' · ' || s) END",
+    "source": f"CASE WHEN s = '' OR {_SECRET.format('s')} THEN 'codex' ELSE s END", "api": "'codex · s' || user_id % 9"})
+_over_made("f_redact_made", {"result": T.redact(F.concat(F.lit("ask "), F.regexp_replace("x", "^(sk-|AIza|hf_)", ""), F.lit(" with pk_"), F.left(F.md5(F.col("event_id").cast("string")), (F.col("event_id") % 30).cast("int")), F.lit(" end")))}, {
+    "result": "'ask ' || regexp_replace(x, '^(sk-|AIza|hf_)', '') || ' with ' || CASE WHEN event_id % 30 < 2 THEN '******' ELSE 'pk******' || right(left(md5(event_id::VARCHAR), (event_id % 30)::INT), 2) END || ' end'"})

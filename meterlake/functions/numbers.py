@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Units of a duration, and the colours of success rates 0, 0.5 and 1.
+SECONDS, MILLISECONDS = "秒", "毫秒"
+HEALTH_STOPS = ((239, 68, 68), (250, 204, 21), (34, 197, 94))
+
 
 def non_negative(x: Column) -> Column:
     return F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)).cast("long")
@@ -60,18 +66,39 @@ def _shown(x: Column, digits: int) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """1.2k, 3.4M; whole numbers below a thousand."""
+    """1.2k, 3.4M, 1k; whole numbers below a thousand."""
     v = finite(x)
-    return F.when(F.abs(v) >= 1e6, F.concat(_shown(v / 1e6, 1), F.lit("M"))).when(F.abs(v) >= 1e3, F.concat(_shown(v / 1e3, 1), F.lit("k"))).otherwise(_shown(v, 0))
+    short = lambda y: F.regexp_replace(_shown(y, 1), r"\.0$", "")
+    return F.when(F.abs(v) >= 1e6, F.concat(short(v / 1e6), F.lit("M"))).when(F.abs(v) >= 1e3, F.concat(short(v / 1e3), F.lit("k"))).otherwise(_shown(v, 0))
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(_shown(finite(x), 1), F.lit("%"))
+    """One digit and a percent sign; `-` for what is no finite number."""
+    return _or_dash(x, lambda v: F.concat(_shown(v, 1), F.lit("%")))
 
 
 def millis_text(x: Column) -> Column:
-    v = finite(x)
-    return F.when(v >= 1000, F.concat(_shown(v / 1000, 1), F.lit("s"))).otherwise(F.concat(_shown(v, 0), F.lit("ms")))
+    """Seconds with two digits from a thousand on, else whole milliseconds; `-` for what isn't above 0."""
+    units = lambda v: F.when(v >= 1000, F.concat(_shown(v / 1000, 2), F.lit(SECONDS))).otherwise(F.concat(_shown(F.floor(v + 0.5).cast("double"), 0), F.lit(MILLISECONDS)))
+    return _or_dash(x, lambda v: F.when(v > 0, units(v)).otherwise("-"))
+
+
+def _or_dash(x: Column, shown: Callable[[Column], Column]) -> Column:
+    v = x.try_cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "-").otherwise(shown(v))
+
+
+def health_color(rate: Column) -> Column:
+    """The colour of a success rate from 0 to 1, between three stops; empty below 0."""
+    part = F.when(rate < 0.5, rate * 2).otherwise((rate - 0.5) * 2)
+    between = lambda low, middle, high: F.floor(F.when(rate < 0.5, low + (middle - low) * part).otherwise(middle + (high - middle) * part) + 0.5)
+    return F.when(rate < 0, "").otherwise(F.concat(F.lit("rgb("), F.concat_ws(",", *(between(*c).cast("string") for c in zip(*HEALTH_STOPS))), F.lit(")")))
+
+
+def health_cell(slot: Column, slots: int, rows: int = 7) -> Column:
+    """Place of a slot in a grid that is filled from its lower right corner up: (column, row), from 1."""
+    age = F.lit(slots - 1) - slot
+    return F.struct((F.lit(-(-slots // rows)) - F.floor(age / rows)).alias("column"), (F.lit(rows) - age % rows).alias("row"))
 
 
 def rfc3339(x: Column) -> Column:

@@ -21,6 +21,7 @@ AUTH_MARKERS = ("Authorization:", "authorization:", "Bearer ", "bearer ", "X-API
 QUERY_PARAMETERS = ("key", "token", "api_key", "apikey")
 REDACTED = "******"
 HEADER_END, VALUE_END = r" ,\n\r;", r" &;\n\r"
+CREDENTIAL_LABEL = r"(?iU)^\s*(?:凭证|credential|auth)\s+\S+\s*$"
 JOINER = " · "
 CHANNEL = "上游 "
 UNKNOWN_API, UNKNOWN_CLIENT, UNKNOWN_SOURCE, BLANK_CREDENTIAL = "未知接口", "未知 API", "未知来源", "(空)"
@@ -219,6 +220,30 @@ def cut_long(x: Column, limit: int = 500) -> Column:
     return let(trim(x), lambda s: F.when(F.octet_length(s) > limit, cut(s)).otherwise(s))
 
 
+def friendly_api(x: Column) -> Column:
+    """An api's name without parts that are keys, markers, labels or ids of credentials; unknown if it is blank."""
+
+    def shown(s: Column) -> Column:
+        odd = lambda p: looks_secret(p) | is_marker(p) | p.rlike(CREDENTIAL_LABEL) | looks_credential_id(p)
+        return or_else(F.array_join(F.filter(F.split(s, JOINER), lambda p: ~odd(p)), JOINER), s)
+
+    return let(strip_credential(x), lambda s: F.when(s == "", UNKNOWN_API).otherwise(shown(s)))
+
+
+def source_key(source: Column, provider: Column) -> Column:
+    """The name that a source is grouped by: without credentials, else its provider's, else unknown."""
+    plain = lambda x: let(strip_credential(x), lambda s: F.when(looks_secret(s), "").otherwise(s))
+    return or_else(plain(source), or_default(plain(provider), UNKNOWN_SOURCE))
+
+
+def escaped(x: Column) -> Column:
+    """Text for HTML; null becomes the empty string."""
+    out = F.coalesce(x, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def path_tail(x: Column) -> Column:
     return F.substring_index(F.rtrim(x, F.lit("/")), "/", -1)
 

@@ -91,12 +91,16 @@ def by_client_model(events: DataFrame) -> DataFrame:
     return with_client(events).groupBy("client", "model").agg(*measures8())
 
 
+def nested_models(models: DataFrame, fields: list[str]) -> DataFrame:
+    """client and the list of its models, most requests first."""
+    ordered = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a["total_requests"] > b["total_requests"], -1).when(a["total_requests"] < b["total_requests"], 1).when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0))
+    return models.groupBy("client").agg(ordered.alias("models"))
+
+
 def clients_nested(events: DataFrame) -> DataFrame:
     """by_client with a list of its models, most requests first."""
     models = by_client_model(events)
-    fields = [c for c in models.columns if c != "client"]
-    ordered = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a["total_requests"] > b["total_requests"], -1).when(a["total_requests"] < b["total_requests"], 1).when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0))
-    return by_client(events).join(models.groupBy("client").agg(ordered.alias("models")), "client")
+    return by_client(events).join(nested_models(models, [c for c in models.columns if c != "client"]), "client")
 
 
 def by_day(events: DataFrame) -> DataFrame:

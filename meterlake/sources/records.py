@@ -41,6 +41,22 @@ HEADER_FIELDS = ("response_headers", "ResponseHeaders")
 ZERO_TIME = "0001-01-01T00:00:00Z"
 
 
+#: Bits of a row's and of a partition's number in an arrival number; the push stands above both.
+ROW_BITS, PART_BITS = 26, 14
+
+
+def position() -> Column:
+    """The place of a row in what is read: its partition, then its row there."""
+    row, part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), F.spark_partition_id().cast("long")
+    fits = (row < 1 << ROW_BITS) & (part < 1 << PART_BITS)
+    return F.when(fits, part * (1 << ROW_BITS) + row).otherwise(F.raise_error(F.lit("a push has too many rows for arrival numbers")).cast("long"))
+
+
+def push_number(number: int) -> Column:
+    """What the position of the rows of a push is added to: later pushes have larger numbers."""
+    return F.lit(number << (ROW_BITS + PART_BITS)).cast("long")
+
+
 def _paths(parents: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
     return [f"$.{p}.{n}" for p in parents for n in names] if parents else [f"$.{n}" for n in names]
 
@@ -76,7 +92,7 @@ def normalize(decoded: DataFrame, now: Column, settings: Settings = Settings(),
     """Rows of the fact table. Raw keys are masked and hashed, sources cleaned, failures redacted and cut.
 
     A missing time is `now`. The alias is never used. seq orders arrivals; without it rows are
-    numbered as they are read.
+    numbered by position().
     """
     c = F.col
     at = F.coalesce(F.when(c("requested_at") == ZERO_TIME, F.lit(None)).otherwise(N.rfc3339(F.nullif(c("requested_at"), F.lit("")))), now)
@@ -99,7 +115,7 @@ def normalize(decoded: DataFrame, now: Column, settings: Settings = Settings(),
         c("failed"), c("status_code"),
         T.cut_long(T.redact(c("failure_body"))).alias("failure"),
         T.keep_headers(c("headers"), settings.log_response_headers).alias("headers"),
-        (F.monotonically_increasing_id() if seq is None else seq).alias("ingest_seq"),
+        (position() if seq is None else seq).alias("ingest_seq"),
     ).select(*EVENT_COLUMNS)
 
 

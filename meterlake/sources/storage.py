@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PLUGIN, Settings
@@ -12,6 +12,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import aggregates
 from ..operators.retention import classify_import, first_arrivals, import_counts, negative_tokens, normalize_import, without_known
+from ..plans.keep import kept
 from ..schema import EVENT_COLUMNS, LINE, SNAPSHOT, TOKENS
 
 # Versions that an import may have, its most records and bytes, the columns of a CSV export.
@@ -61,12 +62,16 @@ def flat(rows: DataFrame, nested: str = "detail") -> DataFrame:
 
 def append_lines(events: DataFrame, path: str) -> None:
     """Append rows as lines of api, model and detail."""
-    events.select("api", "model", F.to_json(F.struct("api", "model", detail(events).alias("detail"))).alias("value")).select("value").write.mode("append").text(path)
+    lines(events).write.mode("append").text(path)
+
+
+def lines(events: DataFrame) -> DataFrame:
+    return events.select(F.to_json(F.struct("api", "model", detail(events).alias("detail"))).alias("value"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as written, with `_corrupt` set where a line isn't JSON of that form."""
-    return spark.read.schema(LINE).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    """Lines of a folder and those below it, with `_corrupt` set where a line isn't JSON of that form."""
+    return spark.read.schema(LINE).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
 
 
 def replay_lines(spark: SparkSession, path: str, stored: DataFrame, now: Column) -> DataFrame:
@@ -98,8 +103,7 @@ def snapshot_apis(events: DataFrame) -> DataFrame:
 
 
 def export_document(events: DataFrame, settings: Settings, exported_at: str, version: str = "1.0.0") -> DataFrame:
-    """One row, the whole snapshot as JSON text. Its size is that of the retained rows, so writers of
-    very large logs use append_lines or a table instead."""
+    """One row, the whole snapshot as JSON text: for logs that an import may hold. write_snapshot() has no such limit."""
     totals = aggregates.overall(events).select("total_requests", "success_count", "failure_count", "total_tokens")
     entry = F.struct(F.col("api").alias("key"), F.struct("total_requests", "success_count", "failure_count", "total_tokens", "models").alias("value"))
     apis = snapshot_apis(events).agg(F.map_from_entries(_by_key(F.collect_list(entry))).alias("apis"))
@@ -120,7 +124,62 @@ def export_document(events: DataFrame, settings: Settings, exported_at: str, ver
 def _json(value) -> str:
     import json
 
-    return json.dumps(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _quoted(x: Column) -> Column:
+    listed = F.to_json(F.array(x))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _open(x: Column) -> Column:
+    """A JSON object's text without its last brace."""
+    text = F.to_json(x)
+    return F.substr(text, F.lit(1), F.length(text) - 1)
+
+
+def snapshot_lines(events: DataFrame, before: str = "{", after: str = "}") -> DataFrame:
+    """value: the lines of a document `before "usage": snapshot after`, one for each row of events and each group.
+
+    Details are lines of their own, so no row holds more than one. Lines are sorted in one task, which spills.
+    """
+    at = F.unix_micros("ts")
+    order = ("section", "api", "part", "model", "piece", "at", "seq")
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    line = lambda df, section, value, api=none, part=0, model=none, piece=0, at=zero, seq=zero: df.select(
+        F.lit(section).alias("section"), api.alias("api"), F.lit(part).alias("part"), model.alias("model"), F.lit(piece).alias("piece"), at.alias("at"), seq.alias("seq"), value.alias("value"))
+    comma = lambda *by: F.when(F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) > 1, ",").otherwise("")
+    names = ("total_requests", "success_count", "failure_count", "total_tokens")
+    api, model = F.col("api"), F.col("model")
+    models = events.groupBy("api", "model").agg(*aggregates.measures4())
+    apis = models.groupBy("api").agg(*(F.sum(n).alias(n) for n in names))
+    one = apis.agg(*(F.coalesce(F.sum(n), zero).alias(n) for n in names))
+    rows = events.select("api", "model", at.alias("at"), "ingest_seq", F.concat(comma("api", "model", F.struct("ts", "ingest_seq")), F.to_json(detail(events))).alias("value"))
+    parts = [
+        line(one, 0, F.concat(F.lit(f'{before}"usage":'), _open(F.struct(*names)), F.lit(',"apis":{'))),
+        line(apis, 1, F.concat(comma("api"), _quoted(api), F.lit(":"), _open(F.struct(*names)), F.lit(',"models":{')), api),
+        line(models, 1, F.concat(comma("api", "model"), _quoted(model), F.lit(":"), _open(F.struct("total_requests", "total_tokens")), F.lit(',"details":[')), api, 1, model),
+        line(rows, 1, F.col("value"), api, 1, model, 1, F.col("at"), F.col("ingest_seq")),
+        line(models, 1, F.lit("]}"), api, 1, model, 2),
+        line(apis, 1, F.lit("}}"), api, 2),
+    ]
+    tail = events.sparkSession.range(1).select(F.lit("}").alias("value"))
+    for key, df in (("day", aggregates.by_day(events)), ("hour", aggregates.by_hour(events))):
+        for value in ("requests", "tokens"):
+            counts = df.agg(F.to_json(F.map_from_entries(_by_key(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value")))))).alias("counts"))  # a number for each day or hour
+            tail = tail.crossJoin(counts).select(F.concat("value", F.lit(f',"{value}_by_{key}":'), "counts").alias("value"))  # single rows
+    parts.append(line(tail, 2, F.concat("value", F.lit("}" + after))))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.repartition(1).sortWithinPartitions(*order).select("value")
+
+
+def write_snapshot(events: DataFrame, settings: Settings, exported_at: str, path: str, version: str = "1.0.0") -> None:
+    """The document of export_document() as one text file, of any size."""
+    n = events.count()
+    head = {"version": 1, "exported_at": exported_at, "plugin": PLUGIN, "plugin_version": version, "detail_count": n, "config": settings.public()}
+    snapshot_lines(events, _json(head)[:-1] + ",").write.text(path)
 
 
 def snapshot_rows(documents: DataFrame) -> DataFrame:
@@ -136,13 +195,13 @@ def read_snapshot(spark: SparkSession, path: str, most: int = MOST_RECORDS) -> D
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     if size > MOST_BYTES:
         raise ImportRejected("payload_too_large", f"{size} bytes")
-    documents = spark.read.schema(f"{SNAPSHOT}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    documents = spark.read.schema(f"{SNAPSHOT}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     head = documents.select("version", "_corrupt").first()
     if head is None or head["_corrupt"] is not None:
         raise ImportRejected("invalid_json")
     if (head["version"] or 0) not in VERSIONS:
         raise ImportRejected("unsupported_version", str(head["version"]))
-    rows = snapshot_rows(documents)
+    rows = kept(snapshot_rows(documents))  # parsed once; at most MOST_BYTES
     if rows.limit(most + 1).count() > most:
         raise ImportRejected("too_many_records")
     if not negative_tokens(rows).limit(1).isEmpty():

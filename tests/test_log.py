@@ -33,7 +33,7 @@ def push(spark, *rows):
 
 def record(hours_ago=1.0, **more):
     at = (T0 - dt.timedelta(hours=hours_ago)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return {"provider": "codex", "model": "gpt", "api_key": "sk-test-client-key-zy", "requested_at": at, "detail": {"input_tokens": 10, "output_tokens": 5}} | more
+    return {"provider": "codex", "model": "gpt", "api_key": "sk-shop-07-front-qx", "requested_at": at, "detail": {"input_tokens": 10, "output_tokens": 5}} | more
 
 
 def log_of(spark, *rows, settings=Settings()):
@@ -44,10 +44,10 @@ def log_of(spark, *rows, settings=Settings()):
 
 def test_legacy_names_decode_to_the_same_row(spark):
     new = record(failed=True, failure={"status_code": 429, "body": "b"}, latency=2_500_000, base_url="https://x", executor_type="run")
-    old = {"Provider": "codex", "Model": "gpt", "APIKey": "sk-test-client-key-zy", "RequestedAt": new["requested_at"], "Detail": {"InputTokens": 10, "OutputTokens": 5}, "Failed": True, "Failure": {"StatusCode": 429, "Body": "b"}, "Latency": 2_500_000, "baseUrl": "https://x", "ExecutorType": "run", "Unknown": {"a": 1}}
+    old = {"Provider": "codex", "Model": "gpt", "APIKey": "sk-shop-07-front-qx", "RequestedAt": new["requested_at"], "Detail": {"InputTokens": 10, "OutputTokens": 5}, "Failed": True, "Failure": {"StatusCode": 429, "Body": "b"}, "Latency": 2_500_000, "baseUrl": "https://x", "ExecutorType": "run", "Unknown": {"a": 1}}
     rows = records.normalize(records.decode(push(spark, new, old)), NOW).drop("ingest_seq").collect()
     assert rows[0] == rows[1]
-    assert rows[0]["latency_ms"] == 2 and rows[0]["total_tokens"] == 15 and rows[0]["api_key"] == "sk******zy"
+    assert rows[0]["latency_ms"] == 2 and rows[0]["total_tokens"] == 15 and rows[0]["api_key"] == "sk******qx"
 
 
 def test_alias_is_not_a_model_and_nonsense_is_left_out(spark):
@@ -203,3 +203,60 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(model,gpt)" in plan and "GreaterThanOrEqual(ts" in plan
     assert "base_url" not in plan.split("ReadSchema")[1]
+
+
+def test_stream_takes_any_time_and_counts_what_has_expired(spark, tmp_path):
+    from meterlake.streaming import ingest
+
+    source = tmp_path / "in"
+    source.mkdir()
+    settings = Settings(retention_days=36_500, storage_enabled=True, storage_path=str(tmp_path / "lines"))
+
+    def go(name, *rows):
+        (source / name).write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+        stream = ingest.event_stream(ingest.record_stream(spark, str(source)), settings)
+        ingest.store(stream, str(tmp_path / "table"), str(tmp_path / "check"), settings, once=True).awaitTermination()
+
+    go("a.txt", record(-24 * 365 * 60), record(1))
+    go("b.txt", record(1), record(2), record(3), record(24 * 365 * 110))
+    rows = ingest.stored(spark, str(tmp_path / "table")).orderBy("ingest_seq").collect()
+    assert len(rows) == 4 and len({r["ingest_seq"] for r in rows}) == 4 and {r["ts"].year for r in rows[:2]} == {2024, 2084}
+    assert tuple(ingest.ingested(spark, str(tmp_path / "table")).first()) == (5, 1)
+    assert storage.replay_lines(spark, str(tmp_path / "lines"), UsageLog(spark).rows, NOW).count() == 4
+
+
+def test_log_keeps_lines_prices_and_its_last_time(spark, tmp_path):
+    where = {"storage_enabled": True, "storage_path": str(tmp_path / "lines"), "price_storage_path": str(tmp_path / "prices.json")}
+    log = UsageLog(spark)
+    log.patch(NOW, max_details_per_model=7, **where)
+    log.record(push(spark, record(1), record(2)), NOW)
+    log.record(push(spark, record(2), record(0.5, failed=True)), NOW)
+    assert log.rows.count() == 3 and log.rows.select("ingest_seq").distinct().count() == 3
+    assert log.rows.orderBy("ingest_seq").collect()[-1]["failed"]
+    log.put_price("gpt", 1, 2)
+    again = UsageLog(spark)
+    again.patch(NOW, **where)
+    assert again.rows.count() == 3 and again.prices.count() == 1 and again.settings.max_details_per_model == 5000
+    log.patch(NOW, retention_days=7)
+    assert log.settings.max_details_per_model == 7  # others stay
+    log.record(push(spark, record(1)), NOW + F.expr("INTERVAL 23 HOURS"))
+    assert log.rows.count() == 3  # known by the time of its row
+    log.patch(NOW + F.expr("INTERVAL 90 DAYS"))
+    health = log.health()
+    assert (health["total_requests"], health["evicted_total"], health["runtime"]["last_recorded_at"]) == (0, 3, "2024-03-10T11:30:00Z")
+    assert health["storage"]["loaded_path"] == where["storage_path"]
+
+
+def test_keys_are_forgotten_after_the_window_of_arrival(spark):
+    log = UsageLog(spark, Settings(dedup_window_minutes=60, retention_days=0))
+    for minutes, rows in ((0, 1), (30, 1), (80, 2)):
+        log.record(push(spark, record(5)), NOW + F.make_interval(mins=F.lit(minutes)))
+        assert log.rows.count() == rows
+
+
+def test_full_dump_is_one_document(spark):
+    log = log_of(spark, record(1), record(2, model='m"2', failed=True), record(3, provider="other"))
+    doc = json.loads("\n".join(r["value"] for r in log.dashboard_data("2024-03-10T12:00:00Z").collect()))
+    assert doc["failed_requests"] == 1 and doc["usage"]["total_requests"] == 3 and doc["usage"]["requests_by_day"] == {"2024-03-10": 3}
+    assert json.loads(log.export("x").first()["value"])["usage"] == doc["usage"]
+    assert json.loads("\n".join(r["value"] for r in UsageLog(spark).usage_document().collect()))["usage"]["apis"] == {}
