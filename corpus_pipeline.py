@@ -17,12 +17,17 @@ STAGES = [
     ("sentencepiece", piece_codec.encode_stage),
 ]
 
-#: SQL has neither the alignment nor the piece search; tests hold run() against a brute-force version.
+#: SQL has neither the alignment nor the piece search; a test holds run() against a plain Python version of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet in the shared folder and read again."""
+    """The stages applied to documents, each written as Parquet in the shared folder and read again.
+
+    Null and empty texts have no words, so the rules let them go; rows that repeat a doc_id and text stay or go
+    together, those of a null doc_id go by their text; columns beyond those of documents are carried to the last
+    stage, whatever their names; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
