@@ -15,7 +15,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths that share a block of the two-level sums.
-BLOCK = 4096
+BLOCK = 256
 
 _encodings: dict[int, object] = {}
 
@@ -62,7 +62,7 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
     h = materialize(h, "lengths")
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
-    over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for 4096 lengths
+    over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for BLOCK lengths
     zero = F.lit(0).cast("long")
     above = blocks.select("block", F.coalesce(F.sum("block_docs").over(over), zero).alias("docs_above"), F.coalesce(F.sum("block_tokens").over(over), zero).alias("tokens_above"))
     total = blocks.agg(F.sum("block_docs").alias("total_docs"), F.sum("block_tokens").alias("total_tokens"))
