@@ -122,18 +122,27 @@ _codecs: dict[int, tuple[Encoder, Decoder]] = {}
 
 def codec(vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
     """One encoder and decoder for each vocabulary and process."""
-    key = hash((tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+    key = hash((tuple(vocabulary.pieces), tuple(vocabulary.scores), tuple(vocabulary.byte_ids)))
     if key not in _codecs:
         _codecs[key] = Encoder(vocabulary), Decoder(vocabulary)
     return _codecs[key]
 
 
+def free_name(name: str, taken: tuple[str, ...]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def encode_documents(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | Vocabulary = PIECES) -> DataFrame:
     """The columns of keep, ids (array of int) and round_trip (ids decode to the text).
 
     Rows stay in their partitions. Null and empty texts have no ids and round_trip true. A text may
-    be of any length; words longer than the memory's limit are searched again each time.
+    be of any length; words longer than the memory's limit are searched again each time. Repeated rows
+    are encoded each; an empty table gives no rows; columns beyond keep are ignored. A name that keep
+    holds already gets underscores in front (`_ids`).
     """
+    added = [free_name(x, keep) for x in ("ids", "round_trip")]
     spark = df.sparkSession
     small_batches(spark)
     v = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary.load(vocabulary)
@@ -156,11 +165,11 @@ def encode_documents(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
     named = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
     kinds = dict(named.dtypes)
     schema = ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(n)), "ids array<int>", "round_trip boolean"])
-    return named.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "ids", "round_trip")
+    return named.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("ids").alias(added[0]), F.col("round_trip").alias(added[1]))
 
 
 def decode_documents(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | Vocabulary = PIECES) -> DataFrame:
-    """The columns of keep and text, decoded from ids; null ids give an empty text."""
+    """The columns of keep and text (`_text` if keep has one), decoded from ids; null ids give an empty text."""
     spark = df.sparkSession
     small_batches(spark)
     v = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary.load(vocabulary)
@@ -176,7 +185,7 @@ def decode_documents(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("
     named = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(ids).alias("ids"))
     kinds = dict(named.dtypes)
     schema = ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(n)), "text string"])
-    return named.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text")
+    return named.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("text").alias(free_name("text", keep)))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,11 @@ def encoding(ranks_file: bytes):
 
 
 def encoded_lengths(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """n_tokens of every row, whole texts; null has 0 tokens. The vocabulary file is read on the driver."""
+    """n_tokens of every row, whole texts of any length. The vocabulary file is read on the driver.
+
+    Null and empty texts have 0 tokens; repeated rows count each; other columns are ignored, whatever
+    their names; an empty table gives no rows.
+    """
     spark = df.sparkSession
     small_batches(spark)
     with open(vocabulary, "rb") as f:

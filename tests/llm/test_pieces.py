@@ -1,5 +1,6 @@
 """Piece codec and language identification against full searches and sums over all segmentations."""
 
+import copy
 import math
 import random
 
@@ -82,6 +83,21 @@ def test_documents_go_to_ids_and_back(spark, documents, odd_texts):
     assert P.encode_documents(docs.filter("false")).count() == 0
 
 
+def test_names_that_are_taken_and_repeated_rows(spark, documents):
+    docs = documents(["some words"]).withColumnRenamed("n", "ids").withColumnRenamed("score", "round_trip")
+    out = P.encode_documents(docs.union(docs), keep=("doc_id", "ids", "round_trip"))
+    assert out.columns == ["doc_id", "ids", "round_trip", "_ids", "_round_trip"]
+    assert [(r["ids"], r["round_trip"], r["_round_trip"]) for r in out.collect()] == [(2, "x", True)] * 2
+    back = P.decode_documents(out.withColumnRenamed("round_trip", "text"), "_ids", ("doc_id", "text"))
+    assert [r["_text"] for r in back.collect()] == ["some words"] * 2
+
+
+def test_vocabularies_that_differ_in_bytes_have_their_own_codec(public):
+    other = copy.copy(public)
+    other.byte_ids = list(reversed(public.byte_ids))
+    assert P.codec(public) is P.codec(public) and P.codec(other) is not P.codec(public)
+
+
 def segmentations(word):
     if not word:
         yield []

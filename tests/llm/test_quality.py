@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,19 +22,26 @@ def plain_stats(text):
     words, lines = WORDS.findall(text), text.split("\n")
     filled = [x for x in lines if WORDS.search(x)]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    count = {w: windows.count(w) for w in set(windows)}
+    count = Counter(windows)
     marked = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(5)}
-    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_lines": len(lines), "n_dup_lines": len(filled) - len(set(filled)), "n_repeat_words": len(marked), "n_distinct_words": len(set(words)), "n_exclaims": text.count("!"), "n_marks": sum(not any(c.isalnum() for c in w) for w in words)}
+    chars = lambda test: sum(map(test, text))
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": chars(lambda c: c in "#*$%&|<>"), "n_lines": len(lines), "n_dup_lines": len(filled) - len(set(filled)),
+        "n_repeat_words": len(marked), "n_distinct_words": len(set(words)), "n_exclaims": text.count("!"), "n_marks": sum(not any(c.isalnum() for c in w) for w in words),
+        "n_upper": chars(lambda c: "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×")), "n_stops": chars(lambda c: c in ".?"), "n_digits": chars(lambda c: "0" <= c <= "9"),
+        "n_letters": chars(lambda c: unicodedata.category(c).startswith("L"))}
 
 
 def test_statistics_equal_plain_python(spark, documents, odd_texts):
     random.seed(3)
-    texts = [t for t in odd_texts if t is None or len(t) < 5000] + [" ".join(random.choice("ab c d").strip() or "x" for _ in range(n)) for n in (4, 5, 6, 9, 40, 200)]
-    texts += ["a b c d e a b c d e", "x x x x x x", "l\nl\n\n \nl\r\nl", "a b c d e f a b c d e g a b c d e"]
+    texts = odd_texts + [" ".join(random.choice("ab c d").strip() or "x" for _ in range(n)) for n in (4, 5, 6, 9, 40, 200)]
+    texts += ["a b c d e a b c d e", "x x x x x x", "l\nl\n\n \nl\r\nl", "a b c d e f a b c d e g a b c d e", "Ärger ×÷ ÞÐ 12.5% Ⅷ ½? A1!"]
+    long = [f"w{random.randrange(40_000)}" for _ in range(60_000)]
+    texts += [" ".join(long + long[500:900]), "\n".join(" ".join(long[k % 700 : k % 700 + 9]) for k in range(6_000))]
     got = {r["doc_id"]: r for r in document_stats(documents(texts)).collect()}
     for i, t in enumerate(texts):
         for k, v in plain_stats(t).items():
-            assert got[i][k] == v, (t, k)
+            assert got[i][k] == v, (t and t[:80], k)
 
 
 def test_rules_tell_junk_apart(spark, documents):
