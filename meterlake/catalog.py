@@ -130,19 +130,19 @@ _add("w_range_7d", _found(E.Query(range="7d")), "SELECT ingest_seq, api, model F
 _add("w_range_any", _found(E.Query(range="30d", limit=1)), "SELECT ingest_seq, api, model FROM ev")
 _add("w_model", _found(E.Query(model="model-3")), "SELECT ingest_seq, api, model FROM ev WHERE model = 'model-3'")
 _add("w_src", _found(E.Query(source=T.UNKNOWN_SOURCE)), "SELECT ingest_seq, api, model FROM ev WHERE source = ''")
-_add("w_auth", _found(E.Query(auth_index="auth-07")), "SELECT ingest_seq, api, model FROM ev WHERE auth_index = 'auth-07'")
+_add("w_auth", _found(E.Query(auth_index="lane-07")), "SELECT ingest_seq, api, model FROM ev WHERE auth_index = 'lane-07'")
 _add("w_auth_blank", _found(E.Query(blank_auth=True)), "SELECT ingest_seq, api, model FROM ev WHERE auth_index = ''")
-_add("w_api", _found(E.Query(api="codex · codex-prod")), "SELECT ingest_seq, api, model FROM ev WHERE api = 'codex · codex-prod'")
+_add("w_api", _found(E.Query(api="orchard · orchard-site")), "SELECT ingest_seq, api, model FROM ev WHERE api = 'orchard · orchard-site'")
 _add("w_fail", _found(E.Query(failed_only=True, range="7h")), "SELECT ingest_seq, api, model FROM ev, clock WHERE failed AND ts >= now - INTERVAL 7 HOUR")
 _PAGE = E.Query(range="7d", model="model-1", limit=50, offset=50)
 _add("t_page", _timed(lambda e, now: E.page(e, _PAGE, now)[0].select("ingest_seq", "model", "total_tokens")), "SELECT ingest_seq, model, total_tokens FROM ev, clock WHERE model = 'model-1' AND ts >= now - INTERVAL 7 DAY ORDER BY ts DESC, api, ingest_seq DESC LIMIT 50 OFFSET 50")
 _add("t_page_total", _timed(lambda e, now: E.page(e, _PAGE, now)[1]), "SELECT count(*) AS total FROM ev, clock WHERE model = 'model-1' AND ts >= now - INTERVAL 7 DAY")
 _add("t_page_beyond", _timed(lambda e, now: E.page(e, E.Query(limit=501), now)[0].select("ingest_seq")), "SELECT ingest_seq FROM ev ORDER BY ts DESC, api, ingest_seq DESC LIMIT 50")
-_add("t_recent", _over(lambda e: E.recent(e, "gemini · gemini-prod").select("ingest_seq")), "SELECT ingest_seq FROM ev WHERE api = 'gemini · gemini-prod' ORDER BY ts DESC, ingest_seq DESC LIMIT 120")
+_add("t_recent", _over(lambda e: E.recent(e, "quarry · quarry-site").select("ingest_seq")), "SELECT ingest_seq FROM ev WHERE api = 'quarry · quarry-site' ORDER BY ts DESC, ingest_seq DESC LIMIT 120")
 _add("t_events", _over(lambda e: E.ordered(e).limit(500).select("ingest_seq", "api")), "SELECT ingest_seq, api FROM ev ORDER BY ts DESC, api, ingest_seq DESC LIMIT 500")
 _add("t_names", _over(E.model_names), "SELECT DISTINCT model FROM ev")
 _add("t_auths", _over(E.auth_names), "SELECT DISTINCT CASE WHEN auth_index = '' THEN '-' ELSE auth_index END AS auth_index FROM ev")
-_add("j_semi", _over(lambda e: E.existing(e, e.sparkSession.createDataFrame([("codex",), ("gone",), ("openai · openai-prod",)], "api string"))), "SELECT api FROM (VALUES ('codex'), ('gone'), ('openai · openai-prod')) t(api) WHERE api IN (SELECT api FROM ev)")
+_add("j_semi", _over(lambda e: E.existing(e, e.sparkSession.createDataFrame([("orchard",), ("gone",), ("harbour · harbour-site",)], "api string"))), "SELECT api FROM (VALUES ('orchard'), ('gone'), ('harbour · harbour-site')) t(api) WHERE api IN (SELECT api FROM ev)")
 
 # -- duplicates, retention, merging ------------------------------------------------------------
 
@@ -469,19 +469,20 @@ def _made() -> Column:
     return F.concat(first, F.left(F.concat(id_, user, id_), (F.col("event_id") % 97).cast("int")))
 
 
-def _over_made(name: str, columns: dict[str, Column], sql: dict[str, str]) -> None:
-    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", _made().alias("x")).select("event_id", *(c.alias(n) for n, c in columns.items()))
+def _over_made(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str]) -> None:
+    """columns is called when the query is: there may be no session yet when this module is imported."""
+    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", _made().alias("x")).select("event_id", *(c.alias(n) for n, c in columns().items()))
     ORACLE_SQL[name] = "SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in sql.items()) + f" FROM (SELECT event_id, user_id, trim(x) AS s, x FROM (SELECT *, {_MADE} AS x FROM events))"
 
 
 _SECRET = "(regexp_matches({0}, '^(sk-|AIza|hf_|pk_|rk_)') OR (strlen({0}) >= 40 AND NOT regexp_matches({0}, '[ /._-]')) OR (strlen({0}) >= 80 AND NOT contains({0}, ' ')))"
 _ID = "(regexp_matches({0}, '^[0-9a-fA-F]{{8,}}$') OR (strlen({0}) >= 32 AND NOT regexp_matches({0}, '[ /._-]')))"
-_over_made("f_secret_made", {"secret": T.looks_secret(F.col("x")), "id": T.looks_credential_id(F.col("x")), "token": T.looks_secret_token(F.col("x")), "mask": T.mask_key(F.col("x"))}, {
+_over_made("f_secret_made", lambda: {"secret": T.looks_secret(F.col("x")), "id": T.looks_credential_id(F.col("x")), "token": T.looks_secret_token(F.col("x")), "mask": T.mask_key(F.col("x"))}, {
     "secret": _SECRET.format("s"), "id": _ID.format("s"), "token": "(strlen(s) >= 8 AND (regexp_matches(s, '^(sk-|AIza|hf_|pk_|rk_)') OR (strlen(s) >= 32 AND NOT contains(s, ' '))))",
     "mask": "CASE WHEN s = '' THEN '' WHEN strlen(s) <= 4 THEN left(s, 1) || '******' ELSE left(s, 2) || '******' || right(s, 2) END"})
 _NAMED = lambda x: F.concat(F.lit("team "), (F.col("user_id") % 9).cast("string"), F.lit(" · "), F.trim(x))
-_over_made("f_strip_made", {"stripped": T.strip_credential(_NAMED(F.col("x"))), "source": T.source_label(F.col("x"), F.lit("codex"), F.lit("")), "api": T.group_key(F.lit("codex"), F.lit(""), F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")), F.lit(""), F.trim(F.col("x")), F.lit(""))}, {
+_over_made("f_strip_made", lambda: {"stripped": T.strip_credential(_NAMED(F.col("x"))), "source": T.source_label(F.col("x"), F.lit("codex"), F.lit("")), "api": T.group_key(F.lit("codex"), F.lit(""), F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")), F.lit(""), F.trim(F.col("x")), F.lit(""))}, {
     "stripped": f"CASE WHEN {_ID.format('s')} OR {_SECRET.format('s')} THEN 'team ' || user_id % 9 ELSE trim('team ' || user_id % 9 || ' · ' || s) END",
     "source": f"CASE WHEN s = '' OR {_SECRET.format('s')} THEN 'codex' ELSE s END", "api": "'codex · s' || user_id % 9"})
-_over_made("f_redact_made", {"result": T.redact(F.concat(F.lit("ask "), F.regexp_replace("x", "^(sk-|AIza|hf_)", ""), F.lit(" with pk_"), F.left(F.md5(F.col("event_id").cast("string")), (F.col("event_id") % 30).cast("int")), F.lit(" end")))}, {
+_over_made("f_redact_made", lambda: {"result": T.redact(F.concat(F.lit("ask "), F.regexp_replace("x", "^(sk-|AIza|hf_)", ""), F.lit(" with pk_"), F.left(F.md5(F.col("event_id").cast("string")), (F.col("event_id") % 30).cast("int")), F.lit(" end")))}, {
     "result": "'ask ' || regexp_replace(x, '^(sk-|AIza|hf_)', '') || ' with ' || CASE WHEN event_id % 30 < 2 THEN '******' ELSE 'pk******' || right(left(md5(event_id::VARCHAR), (event_id % 30)::INT), 2) END || ' end'"})

@@ -9,7 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..schema import EVENT_COLUMNS
 
-PROVIDERS = ("openai", "deepseek", "gemini", "codex")
+PROVIDERS = ("harbour", "lantern", "quarry", "orchard")
 PRICED = {"model-1": (30.0, 60.0, 15.0), "model-2": (10.0, 20.0, 1.0)}
 SALT = "pepper"
 
@@ -27,12 +27,12 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("long")
     provider = F.element_at(F.array(*(F.lit(p) for p in PROVIDERS)), (u % 4 + 1).cast("int"))
-    source = _blank_if(F.concat(provider, F.lit("-prod")), u % 11 == 0)
-    raw_key = F.concat(F.lit("sk-client-"), F.lpad(u.cast("string"), 4, "0"))
+    source = _blank_if(F.concat(provider, F.lit("-site")), u % 11 == 0)
+    raw_key = F.concat(F.lit("sk-tenant-"), F.lpad(u.cast("string"), 4, "0"))
     failed = F.col("event_type") == "error"
     rows = base(spark, sf_dir).select(
         "ts", e.alias("ingest_seq"), provider.alias("provider"), source.alias("source"), F.concat(F.lit("model-"), (u % 7).cast("string")).alias("model"),
-        _blank_if(F.concat(F.lit("auth-"), F.lpad((u % 20).cast("string"), 2, "0")), u % 20 == 0).alias("auth_index"),
+        _blank_if(F.concat(F.lit("lane-"), F.lpad((u % 20).cast("string"), 2, "0")), u % 20 == 0).alias("auth_index"),
         T.mask_key(raw_key).alias("api_key"), T.hash_key(raw_key, SALT).alias("api_key_hash"),
         failed.alias("failed"), F.when(failed, 400 + k % 4).otherwise(200).cast("int").alias("status_code"),
         F.floor(F.col("value") * 10).cast("long").alias("latency_ms"), (k * 3).alias("ttft_ms"),
@@ -56,11 +56,11 @@ def clock(spark: SparkSession, sf_dir: str) -> Column:
 EV = """
 ev0 AS (
   SELECT event_id AS ingest_seq, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
-         ['openai', 'deepseek', 'gemini', 'codex'][(user_id % 4 + 1)::INT] AS provider FROM events),
+         ['harbour', 'lantern', 'quarry', 'orchard'][(user_id % 4 + 1)::INT] AS provider FROM events),
 ev1 AS (
-  SELECT *, 'model-' || (user_id % 7) AS model, CASE WHEN user_id % 11 = 0 THEN '' ELSE provider || '-prod' END AS source,
-         CASE WHEN user_id % 20 = 0 THEN '' ELSE 'auth-' || lpad((user_id % 20)::VARCHAR, 2, '0') END AS auth_index,
-         'sk-client-' || lpad(user_id::VARCHAR, 4, '0') AS raw_key, event_type = 'error' AS failed,
+  SELECT *, 'model-' || (user_id % 7) AS model, CASE WHEN user_id % 11 = 0 THEN '' ELSE provider || '-site' END AS source,
+         CASE WHEN user_id % 20 = 0 THEN '' ELSE 'lane-' || lpad((user_id % 20)::VARCHAR, 2, '0') END AS auth_index,
+         'sk-tenant-' || lpad(user_id::VARCHAR, 4, '0') AS raw_key, event_type = 'error' AS failed,
          (CASE WHEN event_type = 'error' THEN 400 + k % 4 ELSE 200 END)::INT AS status_code,
          floor(value * 10)::BIGINT AS latency_ms, k * 3 AS ttft_ms, k * 10 AS input_tokens, k * 2 AS output_tokens,
          ingest_seq % 50 AS reasoning_tokens, k * 3 AS cached_tokens, (ingest_seq % 7) * 20 AS cache_tokens,

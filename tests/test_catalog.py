@@ -1,6 +1,8 @@
 """Registered queries against their DuckDB SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -39,3 +41,9 @@ def test_query(spark, duck, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    """Queries are listed in a process of their own that never starts Spark."""
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert e.queries() and e.oracle_sql() and SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
