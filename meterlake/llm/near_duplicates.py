@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import among, materialize, only, small_batches, spread_join, table, without
-from .shingles import Tensored, fingerprint, shingles
+from .shingles import Tensored, fingerprint, forget, shingles
 
 #: Shingle words and similarity in percent, unless a contract says otherwise.
 WORDS, PERCENT = 5, 80
@@ -64,6 +64,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, tensored: Tenso
                 right.append(keys[1].tolist() if len(codes) else [])
                 sketches.append(sketch)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "hash", "n", "print", "left", "right", "sketch"])
+        forget()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, "id long, hash long, n long, print binary, left array<long>, right array<long>, sketch binary")
 
@@ -169,6 +170,7 @@ def with_sets(docs: DataFrame, key: str, text: str, members: DataFrame, words: i
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             same = pa.array([fingerprint(x) == y for x, y in zip(sets, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([x.tobytes() for x in sets], pa.binary())], [*own, "codes"]).filter(same)
+        forget()
 
     return found.mapInArrow(full, ", ".join([*(f"{c} {kinds[c]}" for c in own), "codes binary"]))
 

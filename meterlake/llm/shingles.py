@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose codes a process remembers.
-MEMORY_WORDS = 500_000
+#: Words whose codes a process remembers: some 15 MB.
+MEMORY_WORDS = 100_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
@@ -22,6 +22,11 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def forget() -> None:
+    """Drop the remembered codes: processes stay alive between tasks, beside others that need the memory."""
+    _codes.clear()
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct shingles of `size` words, sorted; A-Z lower-cased, words cut at ASCII blanks.
 
