@@ -449,7 +449,7 @@ _add("dashboard_summary", _page_one, " UNION ALL ".join(f"SELECT '{n}' AS part,
     "total": "'all'", "apis": "api", "api_models": "api || '/' || model", "sources": f"CASE WHEN source = '' THEN '{T.UNKNOWN_SOURCE}' ELSE source END", "credentials": f"CASE WHEN auth_index = '' THEN '{T.BLANK_CREDENTIAL}' ELSE auth_index END",
     "days": "strftime(ts, '%Y-%m-%d')", "hours": "strftime(ts, '%H')"}.items()))
 _add("t_page_past", _timed(lambda e, now: E.page(e, E.Query(offset=10_000_000), now)[0].select("ingest_seq")), "SELECT ingest_seq FROM ev ORDER BY ts DESC LIMIT 50 OFFSET 10000000")
-_add("t_detail", _over(lambda e: storage.snapshot_apis(e).select("api", F.explode("models").alias("model", "m")).select("api", "model", F.transform("m.details", lambda x: x["timestamp"]).alias("t")).select("api", "model", (F.array_sort("t") == F.col("t")).alias("in_order"), F.size("t").alias("n"))), "SELECT api, model, TRUE AS in_order, count(*)::INT AS n FROM ev GROUP BY api, model")
+_add("t_detail", _over(lambda e: storage.groups_in_order(storage.ordered_details(e))), "SELECT api, model, TRUE AS in_order, count(*)::INT AS n FROM ev GROUP BY api, model")
 _add("g_health", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", N.health_color((F.col("event_id") % 101 - 1) / 99).alias("color"), N.health_cell(F.col("event_id") % 672, 672)["column"].alias("col"), N.health_cell(F.col("event_id") % 672, 672)["row"].alias("row")),
      """SELECT event_id, CASE WHEN r < 0 THEN '' ELSE 'rgb(' || floor(a + (b - a) * t + 0.5)::INT || ',' || floor(c + (e - c) * t + 0.5)::INT || ',' || floor(f + (g - f) * t + 0.5)::INT || ')' END AS color,
        96 - (671 - event_id % 672) // 7 AS col, 7 - (671 - event_id % 672) % 7 AS row

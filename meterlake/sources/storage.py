@@ -88,6 +88,28 @@ def _by_key(entries: Column) -> Column:
     return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 
 
+def ordered_details(events: DataFrame) -> DataFrame:
+    """api, model, place, detail: a row for each detail in the order of a snapshot, place growing with it.
+
+    Rows are dealt to tasks by api, model and time, and sorted there: neither a group nor the log needs to fit a task.
+    """
+    rows = events.select("api", "model", F.unix_micros("ts").alias("at"), "ingest_seq", detail(events).alias("detail")).orderBy("api", "model", "at", "ingest_seq")
+    return rows.select("api", "model", F.monotonically_increasing_id().alias("place"), "detail")
+
+
+def groups_in_order(details: DataFrame) -> DataFrame:
+    """api, model, in_order, n: whether the times of a group's details never go back by place, and how many there are.
+
+    Each task's stretch of a group is looked at by itself, then where one stretch follows another.
+    """
+    rows = details.select("api", "model", "place", F.shiftright("place", 33).alias("task"), N.rfc3339(F.col("detail")["timestamp"]).alias("t"))
+    before = F.lag("t").over(Window.partitionBy("api", "model", "task").orderBy("place"))
+    follows = lambda earlier: F.coalesce(earlier <= F.col("t"), F.lit(True))
+    stretches = rows.withColumn("ok", follows(before)).groupBy("api", "model", "task").agg(F.min("t").alias("t"), F.max("t").alias("last"), F.bool_and("ok").alias("ok"), F.count("*").alias("n"))
+    earlier = F.max("last").over(Window.partitionBy("api", "model").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    return stretches.withColumn("ok", F.col("ok") & follows(earlier)).groupBy("api", "model").agg(F.bool_and("ok").alias("in_order"), F.sum("n").cast("int").alias("n"))
+
+
 def snapshot_apis(events: DataFrame) -> DataFrame:
     """One row for each api: counts and its models, each with counts and details by time.
 

@@ -260,3 +260,17 @@ def test_full_dump_is_one_document(spark):
     assert doc["failed_requests"] == 1 and doc["usage"]["total_requests"] == 3 and doc["usage"]["requests_by_day"] == {"2024-03-10": 3}
     assert json.loads(log.export("x").first()["value"])["usage"] == doc["usage"]
     assert json.loads("\n".join(r["value"] for r in UsageLog(spark).usage_document().collect()))["usage"]["apis"] == {}
+
+
+def test_order_of_details_is_by_time_and_needs_no_group_in_one_row(spark, tmp_path):
+    from meterlake import catalog
+
+    times = [(i, dt.datetime(2024, 1, 1, 0, 0, 1, us), 1, "view", 1.0, '{"k": 1}') for i, us in enumerate((500_000, 0, 250_000))]
+    spark.createDataFrame(times, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["t_detail"](spark, str(tmp_path))
+    assert [(r["in_order"], r["n"]) for r in found.collect()] == [(True, 3)]  # as text, 1Z comes after 1.5Z
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    at = lambda *t: spark.createDataFrame([("a", "m", p << 33, (f"2024-01-01T00:00:0{s}Z",)) for p, s in enumerate(t)], "api string, model string, place long, detail struct<timestamp:string>")
+    assert [storage.groups_in_order(at(*t)).first()["in_order"] for t in ((1, 2, 2), (1, 3, 2), (2, 1, 3))] == [True, False, False]
+    one = at(1, 3, 2).withColumn("place", F.shiftright("place", 33))
+    assert storage.groups_in_order(one).first()["in_order"] is False
