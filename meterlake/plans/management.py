@@ -179,8 +179,8 @@ class UsageLog:
 
     def import_file(self, path: str, now: Column) -> dict:
         """Counts of an import; ImportRejected leaves the log as it is."""
-        rows = retention.normalize_import(storage.read_snapshot(self.spark, path), now)
-        rows = rows.withColumn("ingest_seq", records.push_number(self._pushes) + records.position())
+        rows = retention.normalize_import(storage.read_snapshot(self.spark, path, storage.MOST_RECORDS, storage.MOST_BYTES), now)
+        rows = rows.withColumn("ingest_seq", records.push_number(self._pushes) + F.col("ingest_seq"))
         self._now = now
         classified = kept(retention.classify_import(rows, self.rows, now, self.settings.retention_days))
         self.last_import = retention.import_counts(classified).first().asDict()

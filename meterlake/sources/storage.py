@@ -14,6 +14,8 @@ from ..operators import aggregates
 from ..operators.retention import classify_import, first_arrivals, import_counts, negative_tokens, normalize_import, without_known
 from ..plans.keep import kept
 from ..schema import EVENT_COLUMNS, LINE, SNAPSHOT, TOKENS
+from . import documents
+from .records import position
 
 # Versions that an import may have, its most records and bytes, the columns of a CSV export.
 VERSIONS, MOST_RECORDS, MOST_BYTES = (0, 1), 200_000, 50 * 1024 * 1024
@@ -163,25 +165,28 @@ def _open(x: Column) -> Column:
 def snapshot_lines(events: DataFrame, before: str = "{", after: str = "}") -> DataFrame:
     """value: the lines of a document `before "usage": snapshot after`, one for each row of events and each group.
 
-    Details are lines of their own, so no row holds more than one. Lines are sorted in one task, which spills.
+    Details are lines of their own, so no row holds more than one. Lines are dealt to tasks by their order and sorted
+    there; written as text, the files by name are the document.
     """
     at = F.unix_micros("ts")
     order = ("section", "api", "part", "model", "piece", "at", "seq")
     zero, none = F.lit(0).cast("long"), F.lit("")
-    line = lambda df, section, value, api=none, part=0, model=none, piece=0, at=zero, seq=zero: df.select(
-        F.lit(section).alias("section"), api.alias("api"), F.lit(part).alias("part"), model.alias("model"), F.lit(piece).alias("piece"), at.alias("at"), seq.alias("seq"), value.alias("value"))
+    line = lambda df, section, value, api=none, part=0, model=none, piece=0, at=zero, seq=zero, first=None: df.select(
+        F.lit(section).alias("section"), api.alias("api"), F.lit(part).alias("part"), model.alias("model"), F.lit(piece).alias("piece"), at.alias("at"), seq.alias("seq"), value.alias("value"), (F.lit(None).cast("boolean") if first is None else first).alias("first"))
     comma = lambda *by: F.when(F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) > 1, ",").otherwise("")
     names = ("total_requests", "success_count", "failure_count", "total_tokens")
     api, model = F.col("api"), F.col("model")
     models = events.groupBy("api", "model").agg(*aggregates.measures4())
     apis = models.groupBy("api").agg(*(F.sum(n).alias(n) for n in names))
     one = apis.agg(*(F.coalesce(F.sum(n), zero).alias(n) for n in names))
-    rows = events.select("api", "model", at.alias("at"), "ingest_seq", F.concat(comma("api", "model", F.struct("ts", "ingest_seq")), F.to_json(detail(events))).alias("value"))
+    earliest = events.groupBy(api.alias("_api"), model.alias("_model")).agg(F.min(F.struct(at.alias("at"), "ingest_seq")).alias("earliest"))
+    rows = events.select("api", "model", at.alias("at"), "ingest_seq", F.to_json(detail(events)).alias("value")).join(earliest, api.eqNullSafe(F.col("_api")) & model.eqNullSafe(F.col("_model")))
+    first = F.struct("at", "ingest_seq").eqNullSafe(F.col("earliest"))
     parts = [
         line(one, 0, F.concat(F.lit(f'{before}"usage":'), _open(F.struct(*names)), F.lit(',"apis":{'))),
         line(apis, 1, F.concat(comma("api"), _quoted(api), F.lit(":"), _open(F.struct(*names)), F.lit(',"models":{')), api),
         line(models, 1, F.concat(comma("api", "model"), _quoted(model), F.lit(":"), _open(F.struct("total_requests", "total_tokens")), F.lit(',"details":[')), api, 1, model),
-        line(rows, 1, F.col("value"), api, 1, model, 1, F.col("at"), F.col("ingest_seq")),
+        line(rows, 1, F.col("value"), api, 1, model, 1, F.col("at"), F.col("ingest_seq"), first),
         line(models, 1, F.lit("]}"), api, 1, model, 2),
         line(apis, 1, F.lit("}}"), api, 2),
     ]
@@ -194,11 +199,13 @@ def snapshot_lines(events: DataFrame, before: str = "{", after: str = "}") -> Da
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.repartition(1).sortWithinPartitions(*order).select("value")
+    among_equals = F.row_number().over(Window.partitionBy(*order).orderBy("value"))  # the ranges serve it too
+    out = whole.repartitionByRange(*order).withColumn("n", among_equals).sortWithinPartitions(*order, "value")
+    return out.select(F.when(~F.col("first") | (F.col("n") > 1), F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
 
 
 def write_snapshot(events: DataFrame, settings: Settings, exported_at: str, path: str, version: str = "1.0.0") -> None:
-    """The document of export_document() as one text file, of any size."""
+    """The document of export_document(), of any size, as a folder of text files: one after the other by name, they are the document."""
     n = events.count()
     head = {"version": 1, "exported_at": exported_at, "plugin": PLUGIN, "plugin_version": version, "detail_count": n, "config": settings.public()}
     snapshot_lines(events, _json(head)[:-1] + ",").write.text(path)
@@ -208,23 +215,33 @@ def snapshot_rows(documents: DataFrame) -> DataFrame:
     """Rows (outer_api, outer_model, detail fields) of parsed snapshot documents, in document order."""
     apis = documents.select(F.explode("usage.apis").alias("outer_api", "a"))
     models = apis.select("outer_api", F.explode("a.models").alias("outer_model", "m"))
-    rows = models.select("outer_api", "outer_model", F.explode("m.details").alias("detail")).withColumn("ingest_seq", F.monotonically_increasing_id())
+    rows = models.select("outer_api", "outer_model", F.explode("m.details").alias("detail")).withColumn("ingest_seq", position())
     return flat(rows)
 
 
-def read_snapshot(spark: SparkSession, path: str, most: int = MOST_RECORDS) -> DataFrame:
-    """Rows of a snapshot file; ImportRejected for what may not come in."""
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    if size > MOST_BYTES:
+def read_snapshot(spark: SparkSession, path: str, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """Rows of a snapshot; ImportRejected for what may not come in, such as more records or bytes than given.
+
+    Documents in lines, like those of write_snapshot(), may be of any size; one of another form has to fit a task.
+    """
+    if most_bytes is not None and (size := spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0) > most_bytes:
         raise ImportRejected("payload_too_large", f"{size} bytes")
-    documents = spark.read.schema(f"{SNAPSHOT}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    head = documents.select("version", "_corrupt").first()
-    if head is None or head["_corrupt"] is not None:
+    lines = documents.read(spark, path)
+    if lines is not None:
+        heads, invalid = lines.filter(F.col("kind") == documents.HEAD).select("doc.version"), not lines.filter("wrong").isEmpty()
+    else:
+        whole = spark.read.schema(f"{SNAPSHOT}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        heads = whole.select("version", "_corrupt").limit(1)
+        invalid = (head := heads.first()) is None or head["_corrupt"] is not None
+    if invalid:
         raise ImportRejected("invalid_json")
-    if (head["version"] or 0) not in VERSIONS:
-        raise ImportRejected("unsupported_version", str(head["version"]))
-    rows = kept(snapshot_rows(documents))  # parsed once; at most MOST_BYTES
-    if rows.limit(most + 1).count() > most:
+    if (other := heads.filter(~F.coalesce("version", F.lit(0)).isin(*VERSIONS)).first()) is not None:
+        raise ImportRejected("unsupported_version", str(other["version"]))
+    if lines is not None:
+        rows = flat(lines.filter(F.col("kind") == documents.ROW).select(F.col("api").alias("outer_api"), F.col("model").alias("outer_model"), F.col("doc.details")[0].alias("detail"), F.col("seq").alias("ingest_seq")))
+    else:
+        rows = kept(snapshot_rows(whole))  # parsed once
+    if most is not None and rows.limit(most + 1).count() > most:
         raise ImportRejected("too_many_records")
     if not negative_tokens(rows).limit(1).isEmpty():
         raise ImportRejected("invalid_record", "a token count is negative")
@@ -233,7 +250,7 @@ def read_snapshot(spark: SparkSession, path: str, most: int = MOST_RECORDS) -> D
 
 def import_snapshot(spark: SparkSession, path: str, stored: DataFrame, now: Column, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """New rows for stored, and the import counts."""
-    rows = normalize_import(read_snapshot(spark, path), now)
+    rows = normalize_import(read_snapshot(spark, path, MOST_RECORDS, MOST_BYTES), now)
     classified = classify_import(rows, stored, now, settings.retention_days)
     return classified.filter("outcome = 'added'").select(*EVENT_COLUMNS), import_counts(classified)
 

@@ -274,3 +274,70 @@ def test_order_of_details_is_by_time_and_needs_no_group_in_one_row(spark, tmp_pa
     assert [storage.groups_in_order(at(*t)).first()["in_order"] for t in ((1, 2, 2), (1, 3, 2), (2, 1, 3))] == [True, False, False]
     one = at(1, 3, 2).withColumn("place", F.shiftright("place", 33))
     assert storage.groups_in_order(one).first()["in_order"] is False
+
+
+def dumped(spark, log, path, files=1):
+    """The log's export in lines, as files of about equal numbers of lines; some bytes of a block each, if read so."""
+    storage.write_snapshot(log.rows, log.settings, "2024-03-10T12:00:00Z", str(path / "whole"))
+    text = [x for p in sorted((path / "whole").glob("part-*")) for x in p.read_text().splitlines()]
+    (path / "cut").mkdir()
+    step = -(-len(text) // files)
+    for i in range(0, len(text), step):
+        (path / "cut" / f"part-{i:05d}.txt").write_text("\n".join(text[i:i + step]) + "\n")
+    return str(path / "cut"), json.loads("\n".join(text))
+
+
+def test_usage_of_any_size_is_read_and_imports_stay_bounded(spark, tmp_path, monkeypatch):
+    from meterlake.plans import dashboard
+
+    log = log_of(spark, record(1), record(2, model="m2"), record(3, model="m2", failed=True), record(4, provider="other"))
+    path, _ = dumped(spark, log, tmp_path)
+    monkeypatch.setattr(storage, "MOST_BYTES", 1000)
+    monkeypatch.setattr(storage, "MOST_RECORDS", 3)
+    assert sorted(map(tuple, dashboard.summary_of_document(spark, path, P.make(spark, {}), NOW)["api_models"].select("api", "model", "total_requests").collect())) == [("codex", "gpt", 1), ("codex", "m2", 2), ("other", "gpt", 1)]
+    for code in ("payload_too_large", "too_many_records"):
+        with pytest.raises(storage.ImportRejected) as e:
+            UsageLog(spark).import_file(path, NOW)
+        assert e.value.code == code
+        monkeypatch.setattr(storage, "MOST_BYTES", 1_000_000)
+
+
+def test_documents_in_lines_are_read_in_blocks_and_in_order(spark, tmp_path):
+    from meterlake.sources import documents
+
+    odd = 'a "details":[ \\ {x}, "apis":{'
+    log = log_of(spark, *(record(i / 10, model=("gpt", odd, 'm},"b')[i % 3], provider=("codex", "other")[i % 2], failed=i % 4 == 0, failure={"body": '"}]},{'}) for i in range(30)))
+    path, doc = dumped(spark, log, tmp_path, files=7)
+    assert sum(len(m["details"]) for a in doc["usage"]["apis"].values() for m in a["models"].values()) == 30
+    expected = [(a, m, d["timestamp"], d["failed"]) for a, x in doc["usage"]["apis"].items() for m, y in x["models"].items() for d in y["details"]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        lines = documents.read(spark, path)
+        rows = lines.filter("kind = 'row'").orderBy("seq").select("api", "model", F.col("doc.details")[0]["timestamp"], F.col("doc.details")[0]["failed"])
+        assert list(map(tuple, rows.collect())) == expected
+        other = UsageLog(spark)
+        assert other.import_file(path, NOW)["added"] == 30
+        assert [tuple(r) for r in other.rows.orderBy("ingest_seq").select("api", "model").collect()] == [x[:2] for x in expected]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    flat = tmp_path / "flat.json"
+    flat.write_text(json.dumps(doc, indent=1))
+    assert documents.read(spark, str(flat)) is None and storage.read_snapshot(spark, str(flat)).count() == 30
+    lines = [x for p in sorted((tmp_path / "cut").glob("part-*")) for x in p.read_text().splitlines()]
+    at = next(i for i, x in enumerate(lines) if x.startswith(',{"model"'))
+    joined = lines[:at - 1] + [lines[at - 1] + lines[at]] + lines[at + 1:]  # two rows in a line: valid, but another form
+    for name, text, kept in (("joined", joined, 30), ("lost", lines[:at - 2] + lines[at:], None), ("short", lines[:-1], None), ("cut", lines[:at] + [lines[at][:-1]] + lines[at + 1:], None)):
+        (tmp_path / f"{name}.json").write_text("\n".join(text))
+        assert documents.read(spark, str(tmp_path / f"{name}.json")) is None
+        if kept:
+            assert storage.read_snapshot(spark, str(tmp_path / f"{name}.json")).count() == kept
+            continue
+        with pytest.raises(storage.ImportRejected) as e:
+            storage.read_snapshot(spark, str(tmp_path / f"{name}.json"))
+        assert e.value.code == "invalid_json"
+
+
+def test_equal_rows_of_a_dump_stay_one_document(spark, tmp_path):
+    rows = log_of(spark, record(1), record(1), record(2), record(2, failed=True), settings=Settings(dedup_window_minutes=0)).rows.withColumn("ingest_seq", F.lit(5).cast("long"))
+    doc = json.loads("\n".join(r["value"] for r in storage.snapshot_lines(rows.unionByName(rows)).collect()))
+    assert [len(m["details"]) for a in doc["usage"]["apis"].values() for m in a["models"].values()] == [8]
