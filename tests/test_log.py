@@ -341,3 +341,12 @@ def test_equal_rows_of_a_dump_stay_one_document(spark, tmp_path):
     rows = log_of(spark, record(1), record(1), record(2), record(2, failed=True), settings=Settings(dedup_window_minutes=0)).rows.withColumn("ingest_seq", F.lit(5).cast("long"))
     doc = json.loads("\n".join(r["value"] for r in storage.snapshot_lines(rows.unionByName(rows)).collect()))
     assert [len(m["details"]) for a in doc["usage"]["apis"].values() for m in a["models"].values()] == [8]
+
+
+def test_imported_query_takes_more_than_one_import_may_hold(spark, sf_dir, monkeypatch):
+    from meterlake import catalog
+
+    monkeypatch.setattr(storage, "export_document", None)  # one row for all
+    monkeypatch.setattr(storage, "MOST_BYTES", 1000)
+    monkeypatch.setattr(storage, "MOST_RECORDS", 10)
+    assert catalog.QUERIES["s_imp"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
