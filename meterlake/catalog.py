@@ -24,7 +24,7 @@ from .plans import dashboard
 from .plans.keep import new_path
 from .plans.management import UsageLog
 from .schema import DEDUP_KEY, EVENT_COLUMNS, TOKENS
-from .sources import records, storage
+from .sources import documents, records, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -401,11 +401,17 @@ def _dumped(spark: SparkSession, d: str) -> DataFrame:
     """The full dump, parsed again: a row for each of its details."""
     log, _ = _log(spark, d, **_WHOLE)
     path = _written(log.dashboard_data("2024-02-01T00:00:00Z"), lambda x, p: x.write.text(p))
-    schema = "failed_requests long, generated_at string, usage struct<total_requests:long,requests_by_day:map<string,long>,apis:map<string,struct<total_requests:long,models:map<string,struct<total_tokens:long,details:array<struct<timestamp:string,failed:boolean>>>>>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    apis = doc.select("failed_requests", "generated_at", F.col("usage.total_requests").alias("total"), F.size("usage.requests_by_day").alias("days"), F.explode("usage.apis").alias("api", "a"))
-    models = apis.select("failed_requests", "generated_at", "total", "days", "api", F.col("a.total_requests").alias("api_requests"), F.explode("a.models").alias("model", "m"))
-    return models.select("failed_requests", "generated_at", "total", "days", "api", "api_requests", "model", F.col("m.total_tokens").alias("total_tokens"), F.size("m.details").alias("details"))
+    lines = documents.read(spark, path, "struct<timestamp:string,failed:boolean>")
+    if lines is None or not lines.filter("wrong").isEmpty():
+        raise ValueError("the dump is no document in lines")
+    of = lambda kind, *columns: lines.filter(F.col("kind") == kind).select(*columns)
+    total = of(documents.HEAD, "doc.failed_requests", "doc.generated_at", F.col("doc.usage.total_requests").alias("total"))
+    days = of(documents.TAIL, F.size("doc.usage.requests_by_day").alias("days"))
+    apis = of(documents.API, "api", F.map_values("doc.apis")[0]["total_requests"].alias("api_requests"))
+    models = of(documents.MODEL, "api", "model", F.map_values("doc.models")[0]["total_tokens"].alias("total_tokens"))
+    details = of(documents.ROW, "api", "model").groupBy("api", "model").agg(F.count("*").cast("int").alias("details"))
+    groups = models.join(apis, "api").join(details, ["api", "model"], "left").crossJoin(total).crossJoin(days)  # two single rows
+    return groups.select("failed_requests", "generated_at", "total", "days", "api", "api_requests", "model", "total_tokens", F.coalesce("details", F.lit(0)).alias("details"))
 
 
 QUERIES["dashboard_data"] = _dumped

@@ -350,3 +350,22 @@ def test_imported_query_takes_more_than_one_import_may_hold(spark, sf_dir, monke
     monkeypatch.setattr(storage, "MOST_BYTES", 1000)
     monkeypatch.setattr(storage, "MOST_RECORDS", 10)
     assert catalog.QUERIES["s_imp"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_full_dump_is_written_and_read_by_many_tasks(spark, sf_dir, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from meterlake import catalog
+
+    def whole(*_, **__):
+        raise AssertionError("a document read as one row")
+
+    monkeypatch.setattr(DataFrameReader, "json", whole)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = catalog.QUERIES["dashboard_data"](spark, sf_dir).collect()
+        dump = log_of(spark, *(record(i / 10) for i in range(40))).dashboard_data("x").withColumn("task", F.spark_partition_id())
+        assert dump.select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["details"] for r in rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count() == rows[0]["total"]
